@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallytree.functions.numbers import is_finite_or_null, scale_fact, sum_or_zero, to_double
 from tallytree.functions.text import has, underscore_ids
-from tallytree.operators.firsts import first_per, leading_ties
+from tallytree.operators.firsts import first_per, leading_ties, top_n_per
 from tallytree.operators.tree import UNIT
 
 # Document order of facts inside a line; the context settles ties.
@@ -86,10 +86,12 @@ def override_elements(
 
 
 def period_counts(rows: DataFrame, keys: list[str] = UNIT, period: str = "period") -> DataFrame:
-    """Rows per period with the largest count of the report: two partial aggregates."""
+    """Rows per period with the largest count of the report.
+
+    The counts combine before the shuffle; the window sees one row per period of a report.
+    """
     counts = rows.groupBy(*keys, period).agg(F.count(F.lit(1)).alias("n_rows"))
-    largest = counts.groupBy(*keys).agg(F.max("n_rows").alias("max_rows"))
-    return counts.join(largest, keys)
+    return counts.withColumn("max_rows", F.max("n_rows").over(Window.partitionBy(*keys)))
 
 
 def dominant_periods(
@@ -179,34 +181,35 @@ def rename_members(cells: DataFrame) -> DataFrame:
 def last_two_periods(cells: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     """The two last period columns of a report, in text order; ``period2`` is NULL if only one."""
     periods = cells.groupBy(*keys, F.col("period").cast("string").alias("period")).count()
-    last = periods.groupBy(*keys).agg(F.max("period").alias("period1"))
-    second = (
-        periods.join(last, keys).filter(F.col("period") < F.col("period1"))
-        .groupBy(*keys).agg(F.max("period").alias("period2"))
+    latest = top_n_per(periods, keys, [F.desc("period")], 2)
+    return latest.groupBy(*keys).agg(
+        F.max("period").alias("period1"),
+        F.nullif(F.min("period"), F.max("period")).alias("period2"),
     )
-    return last.join(second, keys, "left")
 
 
-def repeated_row_keys(
-    cells: DataFrame, columns: DataFrame, keys: list[str] = UNIT
-) -> DataFrame:
-    """Per line its second level and its values in the last two period columns."""
+def row_keys(cells: DataFrame, columns: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    """Cells with the values that their line shows in the last two period columns.
+
+    Cells are one row per line and period here, so the window runs over a handful of rows; its
+    partitioning also serves :func:`first_line`.
+    """
     period = F.col("period").cast("string")
+    line = Window.partitionBy(*keys, "element_id", "section", "el_order", "decimals")
+    shown = [F.max(F.when(period == F.col(c), F.col("value"))).over(line) for c in ("period1", "period2")]
     return (
         cells.join(columns, keys)
-        .groupBy(*keys, *LINE)
-        .agg(
-            F.max(F.when(period == F.col("period1"), F.col("value"))).alias("last_value"),
-            F.max(F.when(period == F.col("period2"), F.col("value"))).alias("second_last_value"),
-        )
+        .repartition(*keys, "element_id")
+        .withColumns({"last_value": shown[0], "second_last_value": shown[1]})
+        .drop("period1", "period2")
     )
 
 
-def drop_repeated_rows(
-    cells: DataFrame, columns: DataFrame, keys: list[str] = UNIT
-) -> DataFrame:
-    """Of lines with the same second level and the same last two values the first stays."""
-    rows = repeated_row_keys(cells, columns, keys)
-    order = ["section", "el_order", "element_id"]
-    keep = first_per(rows, [*keys, "level2", "last_value", "second_last_value"], order)
-    return cells.join(keep.select(*keys, *order), [*keys, *order], "left_semi")
+def drop_repeated_rows(cells: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    """Of lines with the same second level and the same last two values the first stays.
+
+    ``cells`` comes from :func:`row_keys`; the cells of a line tie, so all of them stay.
+    """
+    same = [*keys, "level2", "last_value", "second_last_value"]
+    kept = leading_ties(cells, same, ["section", "el_order", "element_id"])
+    return kept.drop("last_value", "second_last_value")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallytree.functions.numbers import sum_or_zero
 
@@ -68,6 +68,21 @@ def order_by_label(lines: DataFrame, keys: list[str], label: str = "label") -> D
     )
 
 
+def sum_by_label(lines: DataFrame, keys: list[str], detail: list[str], label: str = "label") -> DataFrame:
+    """Sum of lines with equal label and detail, at the earliest place of the label.
+
+    The sums combine before the shuffle; the window sees one row per label and detail.
+    """
+    place = F.min(F.struct("section", "el_order"))
+    totals = lines.groupBy(*keys, label, *detail).agg(
+        sum_or_zero("value").alias("value"), place.alias("_place")
+    )
+    first = F.min("_place").over(Window.partitionBy(*keys, label))
+    return totals.withColumn("_place", first).select(
+        *keys, label, *detail, "value", "_place.section", "_place.el_order"
+    )
+
+
 def select_matching(df: DataFrame, *parts: str) -> DataFrame:
     """Columns whose name contains one of the texts, whatever the case."""
     lowered = [p.lower() for p in parts]

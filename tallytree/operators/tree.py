@@ -63,7 +63,10 @@ def tree_paths(
         ),
         "tree-arcs",
     )
-    frontier = tree_roots(arcs, keys).select(
+    sources = edges.select(
+        *keys, F.col("tip").alias("from_element_id"), "to_element_id", F.col("sibling.seq").alias("arc_seq")
+    )
+    frontier = tree_roots(sources, keys).select(
         *keys,
         F.array("element_id").alias("path"),
         F.array(_root_key(order_mode)).alias("path_key"),

@@ -302,8 +302,8 @@ def period_label(spark, sf_dir):
     *_CASH_CELLS, o.first_rows("cells"), o.without_repeats("lead_rows", "cells")))
 def layout_row_dedupe(spark, sf_dir):
     cells = _cash_cells(spark, sf_dir)
-    shown = f.drop_repeated_rows(f.rename_members(f.first_line(cells)), f.last_two_periods(cells))
-    return shown.select(*_CELL, _round())
+    keyed = f.first_line(f.row_keys(cells, f.last_two_periods(cells)))
+    return f.rename_members(f.drop_repeated_rows(keyed)).select(*_CELL, _round())
 
 
 # Labels
@@ -411,7 +411,7 @@ def _parented(spark, sf_dir) -> DataFrame:
     star = sample.landed_star(spark, sf_dir)
     units, relations = _balance_relations(spark, sf_dir)
     lines = tr.tree_lines(r.arcs_in_units(star.presentation, units), order_mode="text").drop("path")
-    return lay.lines_with_parents(lines, lay.element_parents(relations, star.element, star.label))
+    return lay.lines_with_parents(lines, lay.line_parents(relations, star.label))
 
 
 _LAYOUT = (o.tree("bs", "text"), o.PARENTS, o.LAYOUT)

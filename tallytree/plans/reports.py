@@ -15,7 +15,7 @@ from tallytree.operators import facts as f
 from tallytree.operators import labels as lab
 from tallytree.operators import layout as lay
 from tallytree.operators import roles as r
-from tallytree.operators.reshape import order_by_label
+from tallytree.operators.reshape import sum_by_label
 from tallytree.operators.tree import UNIT, tree_lines
 from tallytree.session import pin
 from tallytree.star import Star
@@ -42,7 +42,7 @@ def balance_lines(star: Star, units: DataFrame) -> DataFrame:
     """Lines of the balance sheets, laid out in sections where the calculation allows it."""
     lines = tree_lines(r.arcs_in_units(star.presentation, units), order_mode="text").drop("path")
     relations = r.arcs_in_units(star.calculation, units)
-    parents = lay.element_parents(relations, star.element, star.label)
+    parents = lay.line_parents(relations, star.label)
     return lay.layout_sections(lay.lines_with_parents(lines, parents))
 
 
@@ -62,14 +62,14 @@ def balance_sheet(star: Star) -> DataFrame:
     units = r.as_units(r.balance_roles(star.role), "bs")
     rows = pin(balance_rows(star, balance_lines(star, units)), "bs-rows")
     cells = pin(f.summed_cells(f.with_value(f.first_facts(f.keep_dominant(rows)))), "bs-cells")
-    shown = f.drop_repeated_rows(f.rename_members(f.first_line(cells)), f.last_two_periods(cells))
-    shown = lay.drop_misplaced(shown)
+    keyed = f.first_line(f.row_keys(cells, f.last_two_periods(cells)))
+    shown = pin(lay.drop_misplaced(f.rename_members(f.drop_repeated_rows(keyed))), "bs-shown")
     names = lab.label_tiers(shown, star.presentation, units, star.label)
     totals = lab.calculation_parents(star.calculation, units)
     return (
         shown.join(names, [*UNIT, "element_id"])
         .join(totals, [*UNIT, "element_id"], "left")
-        .groupBy("filing_id", "element_id", "label_string", "arcrole", "period")
+        .groupBy(*UNIT, "element_id", "label_string", "arcrole", "period")
         .agg(sum_or_zero("value").alias("value"), F.min(F.struct("section", "el_order")).alias("place"))
         .select(
             "filing_id", "place.section", "place.el_order", "element_id",
@@ -106,27 +106,19 @@ def income_statement(
     rows = pin(_flow_rows(star, lines, f.income_dimensions(), f.MEMBER), "is-rows")
     kept = f.first_facts(f.drop_infinite(f.keep_dominant(rows)), by="value")
     cells = pin(f.single_cells(kept), "is-cells")
-    shown = f.rename_members(f.first_line(f.most_precise(cells)))
-    shown = f.drop_repeated_rows(shown, f.last_two_periods(cells))
+    keyed = f.row_keys(cells, f.last_two_periods(cells))
+    keyed = f.first_line(f.most_precise(keyed))
+    shown = pin(f.rename_members(f.drop_repeated_rows(keyed)), "is-shown")
     names = lab.first_label(shown, star.presentation, units, star.label)
     totals = lab.calculation_parents(star.calculation, units)
-    labelled = pin(
+    labelled = (
         shown.join(names, [*UNIT, "element_id"], "left")
         .join(totals, [*UNIT, "element_id"], "left")
-        .select(
-            *UNIT, "section", "el_order", "arcrole", "period", "value",
-            drop_literal("label_string", MEMBER_SUFFIX).alias("label"),
-        ),
-        "is-labelled",
+        .withColumn("label", drop_literal("label_string", MEMBER_SUFFIX))
     )
-    return (
-        order_by_label(labelled, UNIT)
-        .groupBy("filing_id", "el_order", "label", "arcrole", "period")
-        .agg(sum_or_zero("value").alias("value"))
-        .select(
-            "filing_id", "el_order", lab.total_label("label", "arcrole", by_word=True).alias("label"),
-            F.col("arcrole").isNotNull().alias("is_total"), "period", "value",
-        )
+    return sum_by_label(labelled, UNIT, ["arcrole", "period"]).select(
+        "filing_id", "el_order", lab.total_label("label", "arcrole", by_word=True).alias("label"),
+        F.col("arcrole").isNotNull().alias("is_total"), "period", "value",
     )
 
 
