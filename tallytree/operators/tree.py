@@ -133,7 +133,8 @@ def level(path: str, k: int) -> Column:
 def level_columns(paths: DataFrame, depth: int) -> DataFrame:
     """Wide form: ``level1`` .. ``level<depth>``."""
     names = [level("path", k).alias(f"level{k}") for k in range(1, depth + 1)]
-    return paths.select(*[c for c in paths.columns if c not in ("path", "path_key")], *names)
+    kept = [c for c in paths.columns if c not in ("path", "path_key") and not c.startswith("level")]
+    return paths.select(*kept, *names)
 
 
 def tree_lines(

@@ -21,7 +21,11 @@ from tallytree.operators import roles as r
 from tallytree.operators import tree as tr
 from tallytree.plans import oracle as o
 from tallytree.plans import reports as rep
+from tallytree.plans import sample_documents as docs
 from tallytree.plans import sample_star as sample
+from tallytree.session import scratch_path
+from tallytree.sources import instance, sinks, taxonomy
+from tallytree.streaming import refresh
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -710,3 +714,177 @@ def price_since(spark, sf_dir):
     "SELECT ticker, CAST(date AS VARCHAR) AS date, opening, closing, low, high FROM x_price"))
 def candles(spark, sf_dir):
     return pr.candles(sample.prices(spark, sf_dir))
+
+
+# Documents, exports and streams
+
+_NATION = "JOIN customer ON c_custkey = filing_id"
+_FOLDER = "CAST(c_nationkey AS BIGINT) AS filing_id"
+
+
+@query("xml_facts", o.sql(
+    f"""SELECT {_FOLDER}, replace(element_id, '#', '.') AS element_id, context_id, fact, decimals, count(*) AS n
+        FROM x_fact {_NATION} GROUP BY ALL"""))
+def xml_facts(spark, sf_dir):
+    facts = instance.read_facts(spark, docs.fact_documents(spark, sf_dir), docs.TEXT_FILES)
+    return facts.groupBy("filing_id", "element_id", "context_id", "fact", "decimals").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xml_fact_order", o.sql(
+    f"SELECT {_FOLDER}, CAST(1 AS BIGINT) AS first_seq, count(*) AS last_seq, count(*) AS n FROM x_fact {_NATION} GROUP BY c_nationkey"))
+def xml_fact_order(spark, sf_dir):
+    facts = instance.read_facts(spark, docs.fact_documents(spark, sf_dir), docs.TEXT_FILES)
+    return facts.groupBy("filing_id").agg(
+        F.min("fact_seq").alias("first_seq"), F.max("fact_seq").alias("last_seq"),
+        F.count_distinct("fact_seq").alias("n"))
+
+
+@query("xml_contexts", o.sql(
+    f"""SELECT {_FOLDER}, context_id, start_date, end_date, dimension1, value1, dimension2, count(*) AS n
+        FROM x_ctx {_NATION} GROUP BY ALL"""))
+def xml_contexts(spark, sf_dir):
+    found = instance.read_contexts(spark, docs.context_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy(*found.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+_NO_HASH = "replace(from_element_id, '#', '.') AS from_element_id, replace(to_element_id, '#', '.') AS to_element_id"
+
+
+@query("xml_presentation", o.sql(
+    f"SELECT {_FOLDER}, role_id, {_NO_HASH}, arc_order, preferred_label, count(*) AS n FROM x_pres {_NATION} GROUP BY ALL"))
+def xml_presentation(spark, sf_dir):
+    arcs = instance.read_presentation(spark, docs.presentation_documents(spark, sf_dir), docs.XML_FILES)
+    keys = ["filing_id", "role_id", "from_element_id", "to_element_id", "arc_order", "preferred_label"]
+    return arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xml_calculation", o.sql(
+    f"SELECT {_FOLDER}, role_id, {_NO_HASH}, arc_order, arcrole, count(*) AS n FROM x_calc {_NATION} GROUP BY ALL"))
+def xml_calculation(spark, sf_dir):
+    arcs = instance.read_calculation(spark, docs.calculation_documents(spark, sf_dir), docs.XML_FILES)
+    keys = ["filing_id", "role_id", "from_element_id", "to_element_id", "arc_order", "arcrole"]
+    return arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("xml_labels", o.sql(
+    f"""SELECT {_FOLDER}, replace(element_id, '#', '.') AS element_id, label_role, lang, label_string, count(*) AS n
+        FROM x_label {_NATION} GROUP BY ALL"""))
+def xml_labels(spark, sf_dir):
+    found = instance.read_labels(spark, docs.label_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy("filing_id", "element_id", "label_role", "lang", "label_string").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("xml_roles", o.sql(
+    f"""SELECT {_FOLDER}, role_id, type, coalesce(description, 'Untitled') AS description, count(*) AS n
+        FROM x_role {_NATION} GROUP BY ALL"""))
+def xml_roles(spark, sf_dir):
+    found = instance.read_roles(spark, docs.role_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy("filing_id", "role_id", "type", "description").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("taxonomy_roles", o.sql(
+    """SELECT concat('0000', CAST(role_seq AS VARCHAR)) AS code, type, coalesce(description, 'Untitled') AS title, role_id AS role_uri,
+       2 * count(*) AS n_uses FROM x_role GROUP BY ALL"""))
+def taxonomy_roles(spark, sf_dir):
+    found = taxonomy.scan_roles(spark, docs.role_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy("code", "type", "title", "role_uri").agg(
+        F.sum(F.size("used_on")).cast("bigint").alias("n_uses"))
+
+
+@query("taxonomy_elements", o.sql(
+    """SELECT replace(element_id, '#', '.') AS element_id, split_part(element_id, '_', -1) AS name,
+       CASE WHEN balance IS NULL THEN 'domainItemType' ELSE 'monetaryItemType' END AS item_type,
+       balance IS NULL AS abstract, true AS nillable, 'duration' AS period_type, balance, count(*) AS n
+       FROM x_elem GROUP BY ALL"""))
+def taxonomy_elements(spark, sf_dir):
+    found = taxonomy.scan_elements(spark, docs.element_documents(spark, sf_dir), docs.XML_FILES)
+    keys = ["element_id", "name", "item_type", "abstract", "nillable", "period_type", "balance"]
+    return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("taxonomy_members", o.sql(
+    """SELECT replace(element_id, '#', '.') AS element_id, split_part(element_id, '_', -1) AS name, count(*) AS n
+       FROM x_elem WHERE balance IS NULL GROUP BY ALL"""))
+def taxonomy_members(spark, sf_dir):
+    found = taxonomy.scan_members(spark, docs.element_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy("element_id", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("taxonomy_enumerations", "SELECT concat(p_name, ' ', CAST(p_partkey AS VARCHAR)) AS value FROM part")
+def taxonomy_enumerations(spark, sf_dir):
+    return taxonomy.scan_enumerations(spark, docs.code_documents(spark, sf_dir), docs.XML_FILES).select("value")
+
+
+@query("taxonomy_links", """
+SELECT 'import' AS kind, concat(CAST(o_orderkey AS VARCHAR), '.xsd') AS target, concat('http://x/', CAST(o_custkey AS VARCHAR)) AS detail FROM orders
+UNION ALL SELECT 'linkbase', concat(CAST(o_orderkey AS VARCHAR), '_pre.xml'), o_orderpriority FROM orders""")
+def taxonomy_links(spark, sf_dir):
+    imports = taxonomy.scan_links(spark, docs.link_documents(spark, sf_dir), docs.XML_FILES)
+    linkbases = taxonomy.scan_links(spark, docs.linkbase_documents(spark, sf_dir), docs.XML_FILES)
+    return imports.unionByName(linkbases).select("kind", "target", "detail")
+
+
+@query("xml_elements", o.sql(
+    f"SELECT {_FOLDER}, replace(element_id, '#', '.') AS element_id, balance, count(*) AS n FROM x_elem {_NATION} GROUP BY ALL"))
+def xml_elements(spark, sf_dir):
+    found = instance.read_elements(spark, docs.element_documents(spark, sf_dir), docs.XML_FILES)
+    return found.groupBy("filing_id", "element_id", "balance").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EXPORTED = o.sql(
+    """SELECT CASE WHEN starts_with(label, 'AssetsCurrent') THEN 'current' ELSE 'other' END AS statement,
+       CAST(substr(period, 1, 4) AS INTEGER) AS period_year, filing_id, label, period,
+       round(coalesce(sum(value), 0), 4) AS value FROM named GROUP BY filing_id, label, period""", _LABELLED_FACTS)
+
+
+def _export_query(name: str, fmt: str) -> None:
+    @query(name, _EXPORTED)
+    def build(spark, sf_dir):
+        keys = ["filing_id", "label", "period"]
+        lines = rs.sum_by(_labelled_facts(spark, sf_dir), keys).withColumn(
+            "statement", F.when(F.col("label").startswith("AssetsCurrent"), "current").otherwise("other"))
+        path = scratch_path(spark, f"export-{fmt}")
+        sinks.write_statement(lines, path, fmt)
+        reader = spark.read.format(fmt).schema(
+            "filing_id BIGINT, label STRING, period STRING, value DOUBLE, statement STRING, period_year INT")
+        if fmt == "csv":
+            reader = reader.option("header", "true")
+        return reader.load(path).select("statement", "period_year", *keys, _round())
+
+
+_export_query("statement_export_parquet", "parquet")
+_export_query("statement_export_csv", "csv")
+
+
+@query("stream_bars", o.sql(
+    """SELECT ticker, date, opening, high, low, closing FROM x_price
+       WHERE date + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""))
+def stream_bars(spark, sf_dir):
+    """The event table as a stream; the bars that the watermark has closed."""
+    ticks = (
+        spark.readStream.schema(sample.table(spark, sf_dir, "events").schema)
+        .option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        .select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("value").alias("price"))
+    )
+    target = scratch_path(spark, "bars")
+    refresh.write_bars(refresh.tick_bars(ticks), target, scratch_path(spark, "bars-checkpoint")).awaitTermination()
+    return spark.read.schema(
+        "ticker STRING, date DATE, opening DOUBLE, high DOUBLE, low DOUBLE, closing DOUBLE").parquet(target)
+
+
+@query("stream_refresh", o.sql(
+    "SELECT filing_id, element_id, count(*) AS n_facts, min(fact_seq) AS first_seq FROM x_fact GROUP BY filing_id, element_id"))
+def stream_refresh(spark, sf_dir):
+    """All customers arrive as filings; the stream derives rows for the filings it is told of."""
+    star_path = sample.landed_star_path(spark, sf_dir)
+    arrivals, target = scratch_path(spark, "arrivals"), scratch_path(spark, "refreshed")
+    sample.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("filing_id"), F.lit("2024-01-01").cast("timestamp").alias("arrived_at")
+    ).write.parquet(arrivals)
+    refresh.refresh_statements(
+        spark, arrivals, star_path, target, scratch_path(spark, "refresh-checkpoint"),
+        lambda star: star.fact.groupBy("filing_id", "element_id").agg(
+            F.count(F.lit(1)).alias("n_facts"), F.min("fact_seq").alias("first_seq")),
+    ).awaitTermination()
+    return refresh.current_rows(spark, target)

@@ -322,11 +322,16 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LANDED: dict[tuple[str, str], str] = {}
 
 
-def landed_star(spark: SparkSession, sf_dir: str) -> Star:
-    """The sample star as Parquet in the shared folder, written once per application and source."""
+def landed_star_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the sample star, written once per application and source."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _LANDED:
         path = scratch_path(spark, "star")
         sample_star(spark, sf_dir).write(path)
         _LANDED[key] = path
-    return Star.read(spark, _LANDED[key])
+    return _LANDED[key]
+
+
+def landed_star(spark: SparkSession, sf_dir: str) -> Star:
+    """The sample star read from the shared folder: parsed once, read by every report."""
+    return Star.read(spark, landed_star_path(spark, sf_dir))
