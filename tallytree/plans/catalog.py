@@ -576,6 +576,16 @@ def disclosure_table(spark, sf_dir):
     return rep.disclosure_table(sample.landed_star(spark, sf_dir)).withColumn("value", _round())
 
 
+@query("statement_lines", f"""
+SELECT 'balance_sheet' AS statement, filing_id, section, el_order, element_id, label, is_total, period, value FROM ({o.BALANCE_SHEET}) b
+UNION ALL SELECT 'income_statement', filing_id, 0, el_order, NULL, label, is_total, period, value FROM ({o.INCOME_STATEMENT}) i
+UNION ALL SELECT 'cash_flow', filing_id, 0, el_order, element_id, label, is_total, period, value FROM ({o.CASH_FLOW}) c""")
+def statement_lines(spark, sf_dir):
+    return rep.statement_lines(
+        sample.landed_star(spark, sf_dir), rep.revenue_overrides(spark), sample.filing_tickers(spark, sf_dir)
+    ).withColumn("value", _round())
+
+
 # Filing lists
 
 _LIMITS = {"10-K": 2, "10-Q": 4}

@@ -38,29 +38,57 @@ def revenue_overrides(spark: SparkSession) -> DataFrame:
     )
 
 
-def balance_lines(star: Star, units: DataFrame) -> DataFrame:
+def balance_units(star: Star) -> DataFrame:
+    return r.as_units(r.balance_roles(star.role), "bs")
+
+
+def income_units(star: Star) -> DataFrame:
+    return r.as_units(r.first_role(r.income_roles(star.role)), "is")
+
+
+def cash_units(star: Star) -> DataFrame:
+    return r.as_units(r.first_role(r.cash_flow_roles(star.role)), "cf")
+
+
+def balance_lines(star: Star) -> DataFrame:
     """Lines of the balance sheets, laid out in sections where the calculation allows it."""
+    units = balance_units(star)
     lines = tree_lines(r.arcs_in_units(star.presentation, units), order_mode="text").drop("path")
     relations = r.arcs_in_units(star.calculation, units)
     parents = lay.line_parents(relations, star.label)
     return lay.layout_sections(lay.lines_with_parents(lines, parents))
 
 
-def balance_rows(star: Star, lines: DataFrame) -> DataFrame:
-    """Distinct facts of the balance-sheet lines; the period is the end date."""
-    context = star.context.filter(f.balance_dimensions() & F.col("end_date").isNotNull())
-    rows = f.line_facts(lines, star.fact, context).withColumns({
+def income_lines(
+    star: Star, overrides: DataFrame | None = None, filing_ticker: DataFrame | None = None
+) -> DataFrame:
+    """Lines of the income statements with the exceptions for single filers."""
+    lines = tree_lines(r.arcs_in_units(star.presentation, income_units(star))).drop("path")
+    return lines if overrides is None else f.override_elements(lines, overrides, filing_ticker)
+
+
+def cash_lines(star: Star) -> DataFrame:
+    return tree_lines(r.arcs_in_units(star.presentation, cash_units(star))).drop("path")
+
+
+def statement_facts(star: Star, lines: DataFrame) -> DataFrame:
+    """Facts of the lines that have a period. Filters on dimensions move below the join."""
+    return f.line_facts(lines, star.fact, star.context.filter(F.col("end_date").isNotNull()))
+
+
+def balance_sheet(star: Star, facts: DataFrame | None = None) -> DataFrame:
+    """filing_id, section, el_order, element_id, label, is_total, period, value.
+
+    ``facts`` may bring the facts of the lines if they were joined for several reports at once.
+    """
+    units = balance_units(star)
+    facts = statement_facts(star, balance_lines(star)) if facts is None else facts
+    rows = facts.filter(f.balance_dimensions()).withColumns({
         "element_id": f.member_as_line(f.LIABILITY_MEMBER),
         "period": F.col("end_date"),
     })
     content = [*UNIT, *f.LINE, "context_id", "period", "fact", "decimals"]
-    return f.distinct_facts(rows, content)
-
-
-def balance_sheet(star: Star) -> DataFrame:
-    """filing_id, section, el_order, element_id, label, is_total, period, value."""
-    units = r.as_units(r.balance_roles(star.role), "bs")
-    rows = pin(balance_rows(star, balance_lines(star, units)), "bs-rows")
+    rows = pin(f.distinct_facts(rows, content), "bs-rows")
     cells = pin(f.summed_cells(f.with_value(f.first_facts(f.keep_dominant(rows)))), "bs-cells")
     keyed = f.first_line(f.row_keys(cells, f.last_two_periods(cells)))
     shown = pin(lay.drop_misplaced(f.rename_members(f.drop_repeated_rows(keyed))), "bs-shown")
@@ -80,30 +108,27 @@ def balance_sheet(star: Star) -> DataFrame:
     )
 
 
-def _flow_rows(star: Star, lines: DataFrame, dimensions, member: str | None) -> DataFrame:
+def _flow_rows(facts: DataFrame) -> DataFrame:
     """First fact per element and value of an income or cash-flow statement, with its value."""
-    context = star.context.filter(dimensions & F.col("end_date").isNotNull()).withColumn(
-        "period", period_label("start_date", "end_date")
+    rows = facts.withColumn("period", period_label("start_date", "end_date")).select(
+        *UNIT, *f.LINE, "fact_seq", "context_id", "fact", "decimals", "period"
     )
-    rows = f.line_facts(lines, star.fact, context)
-    if member:
-        rows = rows.withColumn("element_id", f.member_as_line(member))
-    rows = rows.select(*UNIT, *f.LINE, "fact_seq", "context_id", "fact", "decimals", "period")
     return f.with_value(f.first_facts(rows))
 
 
 def income_statement(
-    star: Star, overrides: DataFrame | None = None, filing_ticker: DataFrame | None = None
+    star: Star, overrides: DataFrame | None = None, filing_ticker: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """filing_id, el_order, label, is_total, period, value; equal labels are added up.
 
     ``overrides`` (ticker, element_id, replacement) needs ``filing_ticker`` (filing_id, ticker).
     """
-    units = r.as_units(r.first_role(r.income_roles(star.role)), "is")
-    lines = tree_lines(r.arcs_in_units(star.presentation, units)).drop("path")
-    if overrides is not None:
-        lines = f.override_elements(lines, overrides, filing_ticker)
-    rows = pin(_flow_rows(star, lines, f.income_dimensions(), f.MEMBER), "is-rows")
+    units = income_units(star)
+    if facts is None:
+        facts = statement_facts(star, income_lines(star, overrides, filing_ticker))
+    facts = facts.filter(f.income_dimensions()).withColumn("element_id", f.member_as_line(f.MEMBER))
+    rows = pin(_flow_rows(facts), "is-rows")
     kept = f.first_facts(f.drop_infinite(f.keep_dominant(rows)), by="value")
     cells = pin(f.single_cells(kept), "is-cells")
     keyed = f.row_keys(cells, f.last_two_periods(cells))
@@ -122,11 +147,11 @@ def income_statement(
     )
 
 
-def cash_flow(star: Star) -> DataFrame:
+def cash_flow(star: Star, facts: DataFrame | None = None) -> DataFrame:
     """filing_id, el_order, element_id, label, is_total, period, value; missing values stay NULL."""
-    units = r.as_units(r.first_role(r.cash_flow_roles(star.role)), "cf")
-    lines = tree_lines(r.arcs_in_units(star.presentation, units)).drop("path")
-    rows = pin(_flow_rows(star, lines, f.no_dimension(), None), "cf-rows")
+    units = cash_units(star)
+    facts = statement_facts(star, cash_lines(star)) if facts is None else facts
+    rows = pin(_flow_rows(facts.filter(f.no_dimension())), "cf-rows")
     shown = pin(f.first_line(f.single_cells(f.keep_dominant(rows))), "cf-cells")
     names = lab.first_label(shown, star.presentation, units, star.label)
     totals = lab.calculation_parents(star.calculation, units)
@@ -173,20 +198,29 @@ def disclosure_table(star: Star, roles: DataFrame | None = None) -> DataFrame:
     )
 
 
-STATEMENTS = {
-    "balance_sheet": balance_sheet,
-    "income_statement": income_statement,
-    "cash_flow": cash_flow,
-}
-
+def statement_lines(
+    star: Star, overrides: DataFrame | None = None, filing_ticker: DataFrame | None = None
+) -> DataFrame:
+    """The three statements in one long table with the column ``statement``.
 
-def statement_lines(star: Star) -> DataFrame:
-    """The three statements in one long table with the column ``statement``."""
+    The lines of all reports meet the facts in one join, so the facts, by far the largest table,
+    are read and shuffled once. The joined rows are written by report and each report reads its own.
+    """
+    lines = (
+        balance_lines(star)
+        .unionByName(income_lines(star, overrides, filing_ticker))
+        .unionByName(cash_lines(star))
+    )
+    facts = pin(statement_facts(star, lines), "statement-facts", by=["unit"])
+    reports = {
+        "balance_sheet": balance_sheet(star, facts.filter("unit = 'bs'")),
+        "income_statement": income_statement(star, facts=facts.filter("unit = 'is'")),
+        "cash_flow": cash_flow(star, facts.filter("unit = 'cf'")),
+    }
     shared = ["filing_id", "section", "el_order", "element_id", "label", "is_total", "period", "value"]
     missing = {"section": F.lit(0), "element_id": F.lit(None).cast("string")}
     parts = []
-    for name, build in STATEMENTS.items():
-        part = build(star)
+    for name, part in reports.items():
         part = part.withColumns({c: e for c, e in missing.items() if c not in part.columns})
         parts.append(part.select(F.lit(name).alias("statement"), *shared))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -60,12 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def pin(df: DataFrame, name: str) -> DataFrame:
+def pin(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Used where a result is read more than once or a loop would grow its lineage. A written
     table survives the loss of executors, prunes columns on re-read and knows its own size.
+    ``by`` names columns of few values that become folders.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -93,9 +93,3 @@ def test_printed_lines_are_leaves(spark, star):
 def test_sections_follow_display_order(spark, star):
     out = reports.balance_sheet(star)
     assert out.filter("section > 0").count() > 0 and out.filter("section = 0").count() > 0
-
-
-def test_statement_lines_hold_all_three(spark, star):
-    some = star.only(spark.range(0, 5).select(F.col("id").alias("filing_id")))
-    lines = reports.statement_lines(some)
-    assert rows(lines.select("statement").distinct()) == [("balance_sheet",), ("cash_flow",), ("income_statement",)]
