@@ -7,6 +7,7 @@ roles, several parents, short paths, text and infinite values, thin periods, dim
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallytree.operators.labels import LANGUAGE, STANDARD_LABEL_ROLE
@@ -325,13 +326,21 @@ _LANDED: dict[tuple[str, str], str] = {}
 def landed_star_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the sample star, written once per application and source."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _LANDED:
+    if key not in _LANDED or not _is_there(spark, _LANDED[key]):
         path = scratch_path(spark, "star")
         sample_star(spark, sf_dir).write(path)
         _LANDED[key] = path
     return _LANDED[key]
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    try:
+        Star.read(spark, path)
+    except AnalysisException:
+        return False
+    return True
+
+
 def landed_star(spark: SparkSession, sf_dir: str) -> Star:
     """The sample star read from the shared folder: parsed once, read by every report."""
     return Star.read(spark, landed_star_path(spark, sf_dir))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_OPEN_SCOPES: list[str] = []
 
 
 def build_session(app_name: str = "tallytree", **conf: str) -> SparkSession:
@@ -56,8 +58,27 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, grouped by application so it can be dropped at once."""
-    app = spark.sparkContext.applicationId
-    return f"{scratch_root(spark)}/{app}/{name}-{uuid.uuid4().hex}"
+    folders = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES])
+    return f"{folders}/{name}-{uuid.uuid4().hex}"
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Drop what was pinned inside the block at its end. Write the results before leaving it."""
+    scope = f"scope-{uuid.uuid4().hex}"
+    _OPEN_SCOPES.append(scope)
+    path = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES])
+    try:
+        yield
+    finally:
+        _OPEN_SCOPES.remove(scope)
+        _drop(spark, path)
 
 
 def pin(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
