@@ -67,23 +67,6 @@ def test_input_order_and_other_filings_do_not_matter(spark, star):
     assert _same(reports.balance_sheet(shuffled), among_all)
 
 
-def test_one_filing_may_hold_most_rows(spark, star):
-    """All customers as one filing: a hot key everywhere, same result as a small shuffle setting."""
-    merged = Star(**{
-        name: getattr(star, name).withColumn("filing_id", F.lit(1).cast("bigint"))
-        for name in ("role", "presentation", "calculation", "element", "label", "fact", "context")
-    })
-    one = reports.disclosure_table(Star(
-        role=merged.role.dropDuplicates(["role_id"]), presentation=merged.presentation.dropDuplicates(["arc_seq"]),
-        calculation=merged.calculation.distinct(), element=merged.element.distinct(),
-        label=merged.label.dropDuplicates(["element_id", "label_seq"]), fact=merged.fact,
-        context=merged.context.dropDuplicates(["context_id"])))
-    counts = one.agg(F.count("*").alias("n"), F.countDistinct("filing_id").alias("f")).first()
-    assert counts.n > 0 and counts.f == 1
-    repeated = one.groupBy("role_id", "element_id", "label", "is_total", "units", "period").count().filter("count > 1")
-    assert repeated.isEmpty()
-
-
 def test_printed_lines_are_leaves(spark, star):
     lines = reports.cash_flow(star).select("filing_id", "element_id").distinct()
     parents = star.presentation.filter("role_id = 'cf'").select("filing_id", F.col("from_element_id").alias("element_id"))
