@@ -239,3 +239,10 @@ def near_duplicates(
         F.col("row_id").alias(id_column), component.alias("component_id"),
         F.col("row_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that are kept. Of rows that agree in id and text one stays."""
+    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_stays")).distinct()
+    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    return stays.dropDuplicates(["doc_id", "text"])

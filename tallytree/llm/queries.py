@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallytree.llm import bag_minhash, decision_lists, embedding_forest, pareto_mix
+from tallytree.llm import (
+    bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, pairwise_quality, pareto_mix, slack_packing,
+    suffix_dedup, warc_index,
+)
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -45,3 +48,42 @@ def op4_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = pareto_mix.copies(docs, "source", F.col("doc_id"), pareto_mix.word_count("text"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("n_copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op5_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands."""
+    return slack_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated passages take from every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).drop("kept_text")
+
+
+@query
+def op8_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    return pairwise_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return byte_cnn.identified(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, from the merged index of their archives."""
+    out = warc_index.capture_history(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "slice", "slot")
