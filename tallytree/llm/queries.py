@@ -13,6 +13,8 @@ from tallytree.llm import (
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
+#: SQL for the queries that SQL can express.
+ORACLE_SQL: dict[str, str] = {}
 
 
 def query(build: Build) -> Build:
