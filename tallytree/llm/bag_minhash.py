@@ -223,7 +223,7 @@ def near_duplicates(
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
         joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
             F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        again = components(joined).withColumnsRenamed({"node": "root", "root": "top"})
+        again = pin(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "bag-tops")
         grown = roots.join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         lone = again.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
         roots = pin(grown.unionByName(lone), "bag-all-roots")

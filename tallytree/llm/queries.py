@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallytree.llm import (
     bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, pairwise_quality, pareto_mix, slack_packing,
-    suffix_dedup, warc_index,
+    sql, suffix_dedup, warc_index,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 #: SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_bag_minhash": sql.BAG_MINHASH,
+    "op2_embedding_forest": sql.EMBEDDING_FOREST,
+    "op4_pareto_mix": sql.PARETO_MIX,
+    "op10_warc_index": sql.WARC_INDEX,
+}
 
 
 def query(build: Build) -> Build:
@@ -87,5 +92,4 @@ def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, from the merged index of their archives."""
     out = warc_index.capture_history(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "slice", "slot")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
