@@ -13,7 +13,7 @@ BAG_MINHASH = f"""
 WITH RECURSIVE split AS (SELECT doc_id, {WORDS} AS w FROM documents),
 runs AS (
   SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS run
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS run
   FROM split),
 bags AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
 sizes AS (SELECT doc_id, sum(n) AS size FROM bags GROUP BY doc_id),
@@ -31,7 +31,7 @@ EMBEDDING_FOREST = f"""
 WITH RECURSIVE doubles AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 usable AS (SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM doubles),
 links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
@@ -97,10 +97,10 @@ WITH hashed AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_by
 groups AS (SELECT h, max(page_id) AS last FROM hashed GROUP BY h),
 letters AS (
   SELECT page_id, payload_bytes, last,
-         list_transform(range(8), k -> ('0x' || substr(h, 5 * k + 1, 5))::INT) AS parts
+         list_transform(range(8), lambda k: ('0x' || substr(h, 5 * k + 1, 5))::INT) AS parts
   FROM hashed JOIN groups USING (h))
 SELECT page_id, payload_bytes,
-       array_to_string(list_transform(range(32), j -> substr('{_LETTERS}', ((parts[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
+       array_to_string(list_transform(range(32), lambda j: substr('{_LETTERS}', ((parts[j // 4 + 1] >> (15 - 5 * (j % 4))) & 31) + 1, 1)), '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM letters
