@@ -137,6 +137,32 @@ def overlaps(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     return pairs.select("a", "b", "left", "right").mapInArrow(work, "a binary, b binary")
 
 
+def _elements(texts: DataFrame, words: int) -> DataFrame:
+    """(owner, element, weight) of texts (owner, text)."""
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in batches(stream, "text"):
+            row, element, weight = weighted_shingles(values, words)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(pa.array(row)), pa.array(element.view(np.int64)), pa.array(weight)],
+                ["owner", "element", "weight"])
+
+    return texts.mapInArrow(work, "owner long, element long, weight long")
+
+
+def shareable(texts: DataFrame, words: int) -> DataFrame:
+    """(text_key, can_share) of texts (text_key, weight, text): the weight of the elements that another of them has too.
+
+    No overlap with any of the others is larger.
+    """
+    owner = F.xxhash64("text_key")
+    counted = _elements(texts.select(owner.alias("owner"), "text"), words).groupBy("element").agg(
+        F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"), F.min("weight").alias("weight"))
+    lone = counted.filter("n = 1").groupBy("owner").agg(F.sum("weight").alias("alone"))
+    return texts.select("text_key", "weight", owner.alias("owner")).join(lone, "owner", "left").select(
+        "text_key", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("can_share"))
+
+
 def _alike(a: str, b: str, threshold: float, bands: int, rows: int):
     """A join condition that a pair at the threshold fails with a probability below 1e-6: sizes and sketches agree."""
     m = bands * rows
@@ -164,11 +190,28 @@ def near_duplicates(
 
     Candidates share one of ``bands`` bands of ``rows`` components (a pair at the threshold is
     missed with probability ``(1 - threshold ** rows) ** bands``). Each bucket first tests all
-    members against one or two leaders. Members that are then still in different components
-    are tested pair by pair, so no link between candidates is lost and a group of copies that
-    hangs together costs its size, not its square.
+    members against a leader. Members that are then still in different components are tested pair
+    by pair, unless sketches or the words that a text shares with no other rule the link out, so no
+    link between candidates is lost and a group of copies costs its size rather than its square.
     """
     source = docs.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("text"))
+    return _judged(source, threshold, words, bands, rows).drop("text_key").withColumnRenamed("row_id", id_column)
+
+
+def first_of_each_class(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.8, words: int = 5,
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all columns. Of rows that agree in id and text one stays."""
+    source = docs.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("text"))
+    kept = _judged(source, threshold, words, BANDS, ROWS).filter("kept").select(
+        F.col("row_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")))))
+    same = keyed[id_column].eqNullSafe(kept["_id"]) & (keyed["_text_key"] == kept["_key"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([id_column, "_text_key"]).select(*docs.columns)
+
+
+def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: int) -> DataFrame:
+    """(row_id, text_key, component_id, kept) of documents (row_id, text)."""
     signed = pin(sign(source, bands, rows, words), "bag-signatures")
     texts = pin(first_per(signed.filter("weight > 0"), ["text_key"], [F.asc_nulls_last("row_id")]), "bag-texts")
 
@@ -209,13 +252,20 @@ def near_duplicates(
         roots.withColumnRenamed("node", "text_key"), "text_key", "left"
     ).withColumn("root", F.coalesce("root", "text_key"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    open_ = pin(
-        placed.join(split.select("bucket"), "bucket").join(texts.select("text_key", "weight", "sketch"), "text_key"), "bag-open")
+    open_ = pin(placed.join(split.select("bucket"), "bucket"), "bag-open")
+    # Edits of their own keep most texts of a crowd from overlapping enough with anything: an exact bound.
+    single = open_.select("text_key").distinct().join(texts.select("text_key", "weight", "sketch"), "text_key")
+    bound = shareable(single.join(wanted, "text_key").select("text_key", "weight", "text"), words)
+    single = pin(
+        single.join(bound, "text_key").filter(F.col("can_share") >= F.lit(threshold) * F.col("weight") - F.lit(1e-9)), "bag-able")
+    open_ = open_.join(single, "text_key")
     half = lambda x: open_.select(
         "bucket", F.col("text_key").alias(x), F.col("root").alias(f"{x}_root"),
-        F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"))
+        F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"), F.col("can_share").alias(f"{x}_share"))
+    most = F.least("a_share", "b_share")
+    enough = most >= F.lit(threshold) * (F.col("a_weight") + F.col("b_weight") - most) - F.lit(1e-9)
     rest = half("a").join(half("b"), "bucket").filter(
-        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & alike).select("a", "b").distinct()
+        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough & alike).select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = pin(verified(rest), "bag-more-links")
     if not more.isEmpty():
@@ -232,17 +282,6 @@ def near_duplicates(
     named = pin(named.withColumn("root", F.coalesce("root", "text_key")), "bag-named")
     least = named.groupBy("root").agg(F.min("row_id").alias("component_id"))
     classes = named.join(least, "root").select("text_key", "component_id", F.lit(True).alias("_known"))
-    out = signed.select("row_id", F.when(F.col("weight") > 0, F.col("text_key")).alias("text_key"))
-    out = out.join(classes, "text_key", "left")
+    out = signed.select("row_id", "text_key").join(classes, "text_key", "left")
     component = F.when(F.col("_known"), F.col("component_id")).otherwise(F.col("row_id"))
-    return out.select(
-        F.col("row_id").alias(id_column), component.alias("component_id"),
-        F.col("row_id").eqNullSafe(component).alias("kept"),
-    )
-
-
-def first_of_each_class(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text and others) that are kept. Of rows that agree in id and text one stays."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("_id"), F.lit(True).alias("_stays")).distinct()
-    stays = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "text"])
+    return out.select("row_id", "text_key", component.alias("component_id"), F.col("row_id").eqNullSafe(component).alias("kept"))

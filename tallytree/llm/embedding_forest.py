@@ -61,7 +61,7 @@ def _vectors(source: DataFrame) -> DataFrame:
 
 
 def _direction(seed: int, tree: int, node: int, dims: int) -> np.ndarray:
-    out = np.random.Generator(np.random.Philox(key=[(seed << 32) + tree, node])).standard_normal(dims)
+    out = np.random.Generator(np.random.Philox(key=[(seed << 32) + int(tree), int(node)])).standard_normal(int(dims))
     return out / np.sqrt(out @ out)
 
 
@@ -98,7 +98,7 @@ def grown_leaves(
     width = lambda dims: SPILL * float(np.sqrt(max(2 - 2 * threshold, 0) / dims))
 
     def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
-        label, dims, tree, node = key
+        label, dims, tree, node = key[0], int(key[1]), int(key[2]), int(key[3])
         cuts = _grow(np.stack(frame["unit"].to_numpy()), tree, node, min(1.0, len(frame) / frame["n"].iloc[0]), seed, width(dims), leaf)
         return pd.DataFrame({
             "label": [label], "dims": [dims], "tree": [tree], "node": [node],

@@ -111,7 +111,7 @@ class WordGrid:
         for k in range(size):
             inside = place + k < last
             term = np.zeros(n, dtype=np.uint64)
-            term[: n - k] = word[k:]
+            term[: max(0, n - k)] = word[k:]
             out = np.where(inside, (out + term) * np.uint64(_RADIX), out)
         whole = (place + size <= last) | (place == self.first[self.row])
         return self.row[whole], mixed(out[whole])

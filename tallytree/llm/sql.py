@@ -52,11 +52,12 @@ weighed AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight FROM source
 total AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS words FROM sources),
 -- Sources fill up in order of how early they are full; the level is the first that fills no further one.
 filling AS (
-  SELECT *, coalesce(sum(2 * source_size) OVER earlier, 0) AS spent, sum(weight) OVER later AS open
+  SELECT *, coalesce(sum(2 * source_size) OVER earlier, 0) AS spent, sum(weight) OVER later AS open,
+         row_number() OVER (ORDER BY 2 * source_size / weight, rank) AS place
   FROM weighed WINDOW earlier AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                       later AS (ORDER BY 2 * source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-levels AS (SELECT (words - spent::DOUBLE) / open::DOUBLE AS level, source_size, weight FROM filling, total),
-level AS (SELECT min(level) AS level FROM levels WHERE weight * level < 2 * source_size),
+levels AS (SELECT (words - spent::DOUBLE) / open::DOUBLE AS level, source_size, weight, place FROM filling, total),
+level AS (SELECT arg_min(level, place) AS level FROM levels WHERE weight * level < 2 * source_size),
 targets AS (
   SELECT source, source_size, rank,
          CASE WHEN level IS NULL OR weight * level >= 2 * source_size THEN 2 * source_size::DOUBLE ELSE weight * level END AS target
