@@ -16,11 +16,11 @@ from tallytree.llm.rawtext import SPACE_CLASS, SPACES
 from tallytree.session import pin
 
 MIN_WORDS = 50
-#: Thresholds of a feature are these quantiles of the labelled documents.
+#: Thresholds of a feature are these quantiles of the labelled documents, and of the rejected ones among them.
 QUANTILES = [0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99]
 MAX_RULES, MAX_CONDITIONS = 8, 3
 #: A rule must reach this share of rejected labels among the pruning documents it covers, and cover so many.
-MIN_PRECISION, MIN_COVER = 0.9, 5
+MIN_PRECISION, MIN_COVER = 0.9, 3
 
 
 def _let(value: Column, body) -> Column:
@@ -143,8 +143,11 @@ def learn(labelled: DataFrame) -> DecisionList:
     threshold bins, and returns one count per feature and threshold.
     """
     names, measures = list(features()), features()
-    cuts = labelled.agg(*[F.percentile_approx(measures[n], QUANTILES, 10000).alias(n) for n in names]).first()
-    cuts = {n: sorted(set(cuts[n] or [])) for n in names}
+    quantiles = lambda value: F.coalesce(
+        F.percentile_approx(value, QUANTILES, 10000), F.array().cast("array<double>"))
+    cuts = labelled.agg(*[
+        F.concat(quantiles(measures[n]), quantiles(F.when(F.col("bad"), measures[n]))).alias(n) for n in names]).first()
+    cuts = {n: sorted(set(cuts[n])) for n in names}
     if not any(cuts.values()):
         return DecisionList()
     bin_of = lambda n: sum(((measures[n] >= c).cast("int") for c in cuts[n]), F.lit(0))

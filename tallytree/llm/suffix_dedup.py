@@ -190,14 +190,50 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[0::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
+def _pair(strings: list[bytes], least: list[int], most: list[int], copies: list[int], length: int, anchor: int) -> list[list[tuple[int, int]]]:
+    """The same for two strings, which need no sorting: the distances at which both sides agree far enough."""
+    (a, b), (ma, mb) = strings, most
+    right = common_prefix(a[ma:], b[mb:], anchor)
+    left = common_prefix(a[:ma][::-1], b[:mb][::-1])
+    low, high = max(*least, length - right), min(*most, left)
+    shared = [(low, high)] if low <= high else []
+    return [[(x, y)] if n > 1 else shared for x, y, n in zip(least, most, copies)]
+
+
 def _sorted_groups(length: int, anchor: int):
-    def work(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates("around")
-        most = frame["most"].to_numpy().astype(np.int64)
-        found = repeats_in_group(
-            frame["bytes"].tolist(), frame["least"].to_numpy().astype(np.int64), most, frame["copies"].to_numpy(), length, anchor)
-        rows = [(key[0], a, x, y) for a, flags in zip(frame["around"], found) for x, y in _runs(flags)]
-        return pd.DataFrame(rows, columns=["key", "around", "near", "far"])
+    """(key, around, near, far) of the repeated windows, from rows that are sorted by key and surroundings."""
+
+    def ranges(key: int, group: list[tuple]) -> Iterator[tuple]:
+        around, least, most, copies, strings = (list(c) for c in zip(*group))
+        if len(group) == 2:
+            found = _pair(strings, least, most, copies, length, anchor)
+        else:
+            flags = repeats_in_group(strings, np.array(least), np.array(most), np.array(copies), length, anchor)
+            found = [_runs(f) for f in flags]
+        return ((key, a, x, y) for a, runs in zip(around, found) for x, y in runs)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int16(), pa.int16())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "around", "near", "far"])
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, out = None, [], []
+        for part in stream:
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if row[0] != key:
+                    if len(group) > 1:
+                        out += ranges(key, group)
+                    key, group = row[0], []
+                if not group or group[-1][0] != row[1]:  # a repeated row brings nothing new
+                    group.append(row[1:])
+            if len(out) > 10000:
+                yield batch(out)
+                out = []
+        if len(group) > 1:
+            out += ranges(key, group)
+        if out:
+            yield batch(out)
 
     return work
 
@@ -242,7 +278,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "w.key", "w.around", "w.least", "w.most", "w.copies", "w.crowded",
         F.substring("text", F.col("w.place") - F.col("w.most") + 1, F.lit(length) + F.col("w.most") - F.col("w.least")).alias("bytes"))
     cut = pin(cut, "suffix-surroundings")
-    compared = cut.filter("NOT crowded").groupBy("key").applyInPandas(
+    met = cut.filter("NOT crowded").select("key", "around", "least", "most", "copies", "bytes")
+    compared = met.repartition("key").sortWithinPartitions("key", "around").mapInArrow(
         _sorted_groups(length, anchor), "key long, around long, near short, far short")
     windows = cut.filter("crowded").mapInPandas(
         _window_hashes(length), "key long, around long, copies long, near short, window long")
