@@ -27,7 +27,8 @@ from tallytree.session import pin
 
 #: 36 bands of 6: a pair at similarity 0.8 shares no band with probability 2e-5, and at 0.85 1e-7.
 BANDS, ROWS = 36, 6
-SKETCH_BITS = 2
+#: Components of a signature: the bands take the first, the sketch keeps two bits of each.
+COMPONENTS = 432
 _U = np.uint64
 
 
@@ -102,7 +103,7 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = 5)
         for part, texts in batches(stream, "text"):
             row, element, weight = weighted_shingles(texts, words)
             total = np.bincount(row, weights=weight, minlength=len(texts)).astype(np.int64)
-            best = signatures(row, element, weight, len(texts), bands * rows)
+            best = signatures(row, element, weight, len(texts), max(COMPONENTS, bands * rows))
             yield pa.RecordBatch.from_arrays([
                 part.column(0),
                 pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary()),
@@ -163,16 +164,20 @@ def shareable(texts: DataFrame, words: int) -> DataFrame:
         "text_key", (F.col("weight") - F.coalesce("alone", F.lit(0))).alias("can_share"))
 
 
-def _alike(a: str, b: str, threshold: float, bands: int, rows: int):
-    """A join condition that a pair at the threshold fails with a probability below 1e-6: sizes and sketches agree."""
-    m = bands * rows
-    words = -(-m * SKETCH_BITS // 64)
-    # Differing two-bit values differ in 4/3 bits on average; five deviations are added.
+def _alike(a: str, b: str, threshold: float, components: int):
+    """A join condition that a pair at the threshold fails with a probability of 3e-5: sizes and sketches agree."""
+    odd = F.lit(0x5555555555555555).cast("long")
+
+    def differ(k: int):
+        bits = F.col(f"{a}_sketch")[k].bitwiseXOR(F.col(f"{b}_sketch")[k])
+        return F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(odd))
+
+    # Two-bit values of different points differ in three cases of four; four deviations are added.
     p = (1 - threshold) * 0.75
-    limit = int((4 / 3) * (m * p + 5 * (m * p * (1 - p)) ** 0.5)) + 8
-    bits = sum((F.bit_count(F.col(f"{a}_sketch")[i].bitwiseXOR(F.col(f"{b}_sketch")[i])) for i in range(words)), F.lit(0))
+    limit = int(components * p + 4 * (components * p * (1 - p)) ** 0.5)
+    apart = sum((differ(k) for k in range(-(-components // 32))), F.lit(0))
     small, large = F.least(f"{a}_weight", f"{b}_weight"), F.greatest(f"{a}_weight", f"{b}_weight")
-    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (bits <= limit)
+    return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (apart <= limit)
 
 
 def near_duplicates(
@@ -228,7 +233,7 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
 
     side = lambda x: texts.select(
         F.col("text_key").alias(x), F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"))
-    alike = _alike("a", "b", threshold, bands, rows)
+    alike = _alike("a", "b", threshold, max(COMPONENTS, bands * rows))
     stars = pin(stars.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "bag-stars")
 
     crowd = members.select("text_key").distinct().join(texts.select("text_key", "row_id"), "text_key")
