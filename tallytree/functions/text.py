@@ -64,11 +64,22 @@ def role_definition(definition: Column | str) -> Column:
 def first_link(html: Column | str, container: str = "table") -> Column:
     """``href`` of the first link inside the first ``container`` element, NULL if there is none.
 
-    The container is cut at its first closing tag, which equals the first element for every
-    container that does not nest; a link of a nested container still lies in the same cut.
+    The text is cut at the tags of the container and the pieces are taken until the first one is
+    closed, with the containers nested in it. A container that is never closed reaches to the end.
     """
-    text = _col(html)
-    block = F.regexp_extract(text, rf"(?is)<{container}[\s>].*?</{container}\s*>", 0)
+    pieces = F.split(_col(html), rf"(?i)(?=</?{container}[\s>])")
+    starts = lambda x, tag: F.regexp_like(x, F.lit(rf"(?i)^{tag}{container}[\s>]"))
+    step = lambda x: F.when(starts(x, "</"), -1).when(starts(x, "<"), 1).otherwise(0)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.lit("").alias("inside"))
+
+    def take(seen: Column, x: Column) -> Column:
+        depth = F.greatest(seen["depth"] + step(x), F.lit(0))
+        inside = ~seen["closed"] & (depth > 0)
+        return F.struct(
+            depth.alias("depth"), (seen["closed"] | ((seen["depth"] > 0) & (depth == 0))).alias("closed"),
+            F.when(inside, F.concat(seen["inside"], x)).otherwise(seen["inside"]).alias("inside"))
+
+    block = F.aggregate(pieces, start, take, lambda seen: seen["inside"])
     href = F.regexp_extract(block, r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1)
     return F.nullif(href, F.lit(""))
 

@@ -79,12 +79,18 @@ def instance_documents(documents: DataFrame, types: list[str] = INSTANCE_TYPES)
     return first_per(found, ["filing_href"], ["doc_seq", "doc_href"]).select("filing_href", "doc_href")
 
 
+def cleaned(column: Column, patterns: list[str] | None = None) -> Column:
+    """A column as text without the viewer name and white space."""
+    text = column.cast("string")
+    for pattern in patterns or ["iXBRL", r"\s+"]:
+        text = F.regexp_replace(text, pattern, "")
+    return text
+
+
 def clean_text(df: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """Every column as text with the viewer name and all white space removed."""
     text = all_as_text(df)
-    for pattern in patterns or ["iXBRL", r"\s+"]:
-        text = text.select(*[F.regexp_replace(F.col(f"`{c}`"), pattern, "").alias(c) for c in text.columns])
-    return text
+    return text.select(*[cleaned(F.col(f"`{c}`"), patterns).alias(c) for c in text.columns])
 
 
 def document_link(html: Column | str, container: str = "table", site: str = SITE) -> Column:
@@ -101,3 +107,15 @@ def with_links(filings: DataFrame, pages: DataFrame, container: str = "table") -
 def attach_company(filings: DataFrame, company: DataFrame, key: str = "company_id") -> DataFrame:
     """Company columns by key. Spark broadcasts the company side if its size allows."""
     return filings.join(company, key)
+
+
+def filing_table(
+    filings: DataFrame, company: DataFrame, pages: DataFrame, limits: dict[str, int] = NEWEST_PER_TYPE, container: str = "table"
+) -> DataFrame:
+    """company, period, filing_date, type, href, report: the list a user sees, one row per filing.
+
+    ``company``: company_id, company. ``pages``: href, html. All texts are cleaned but the link.
+    """
+    listed = attach_company(with_links(filing_list(filings, limits), pages, container), company)
+    return listed.select(
+        *[cleaned(F.col(c)).alias(c) for c in ("company", "period", "filing_date", "type", "href")], "report")

@@ -34,8 +34,13 @@ def numbered(
         *keys, "_slice", "_start",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
     )
+    # Null keys are a group as well.
+    same = F.col("p._slice") == F.col("o._slice")
+    for key in keys:
+        same = same & F.col(f"p.{key}").eqNullSafe(F.col(f"o.{key}"))
     return (
-        placed.join(offsets, [*keys, "_slice"])
+        placed.alias("p").join(offsets.alias("o"), same)
+        .select("p.*", "o._start", "o._before")
         .withColumn(out, F.col("_place") - F.col("_start") + F.col("_before") + F.lit(1))
         .select(*columns, out)
     )

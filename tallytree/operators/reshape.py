@@ -83,6 +83,31 @@ def sum_by_label(lines: DataFrame, keys: list[str], detail: list[str], label: st
     )
 
 
+def display(
+    lines: DataFrame, header: str, detail: list[str] | None = None, periods: list[str] | None = None, filing: str = "filing_id"
+) -> DataFrame:
+    """A report as it is printed: filing, ``header`` with the labels, place, detail columns, one column per period.
+
+    Lines of one label and detail are added up at their earliest place. The rows of a filing are in
+    order of (section, el_order) when written or collected; ``periods`` defaults to those of the lines.
+    """
+    keys, detail = [filing, "label"], detail or []
+    place = lines.groupBy(*keys, *detail).agg(F.min(F.struct("section", "el_order")).alias("_place"))
+    wide = pivot_sums(lines, [*keys, *detail], periods)
+    place = place.toDF(*[f"_{c}" for c in [*keys, *detail]], "_place")
+    match = F.lit(True)
+    for c in [*keys, *detail]:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    shown = [_quoted(c) for c in wide.columns if c not in keys and c not in detail]
+    printed = wide.join(place, match).select(
+        *keys, F.col("_place.section").alias("section"), F.col("_place.el_order").alias("el_order"), *detail, *shown)
+    return rename_first(printed, filing, header).sort(filing, "section", "el_order", _quoted(header))
+
+
+def drop_columns(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*names)
+
+
 def select_matching(df: DataFrame, *parts: str) -> DataFrame:
     """Columns whose name contains one of the texts, whatever the case."""
     lowered = [p.lower() for p in parts]

@@ -17,10 +17,6 @@ from tallytree.session import pin
 UNIT = ["filing_id", "unit"]
 
 
-class TreeTooDeep(ValueError):
-    """A tree is deeper than the stated guard; nothing was cut off silently."""
-
-
 def sibling_key(order_mode: str) -> Column:
     """Sort key of an arc among its siblings: order (missing last), then document order."""
     order = to_double("arc_order")
@@ -46,12 +42,11 @@ def tree_paths(
     arcs: DataFrame,
     keys: list[str] = UNIT,
     order_mode: str = "numeric",
-    max_depth: int = 64,
 ) -> DataFrame:
     """One row per root-to-leaf path: ``path``, ``path_key`` (preorder sort key), ``element_id``.
 
     An arc back to an element already on the path is not followed; a path whose arcs all lead
-    back ends there. A tree deeper than ``max_depth`` raises instead of losing lines.
+    back ends there, so the walk ends with the deepest path, however deep.
     """
     parents = arcs.select(*keys, F.col("from_element_id").alias("to_element_id")).distinct()
     edges = pin(
@@ -73,7 +68,7 @@ def tree_paths(
         F.col("element_id").alias("tip"),
     )
     finished: list[DataFrame] = []
-    for _ in range(max_depth):
+    while True:
         step = pin(
             frontier.join(edges, [*keys, "tip"]).select(
                 *keys,
@@ -97,8 +92,6 @@ def tree_paths(
         frontier = step.filter("NOT leads_back AND expands").select(
             *keys, "path", "path_key", F.element_at("path", -1).alias("tip")
         )
-    else:
-        raise TreeTooDeep(f"presentation tree deeper than {max_depth} levels")
     paths = reduce(DataFrame.unionByName, finished)
     return paths.select(*keys, "path", "path_key", tree_leaf("path").alias("element_id"))
 
@@ -138,13 +131,13 @@ def level_columns(paths: DataFrame, depth: int) -> DataFrame:
 
 
 def tree_lines(
-    arcs: DataFrame, keys: list[str] = UNIT, order_mode: str = "numeric", max_depth: int = 64
+    arcs: DataFrame, keys: list[str] = UNIT, order_mode: str = "numeric"
 ) -> DataFrame:
     """Leaves in depth-first order: keys, ``section``, ``el_order``, ``element_id``, ``level2``, ``path``.
 
     ``section`` is 0 until a layout puts the lines into display sections.
     """
-    paths = tree_paths(arcs, keys, order_mode, max_depth)
+    paths = tree_paths(arcs, keys, order_mode)
     return numbered(paths, keys, ["path_key"], "el_order").select(
         *keys, F.lit(0).alias("section"), "el_order", "element_id",
         level("path", 2).alias("level2"), "path",

@@ -24,7 +24,7 @@ from tallytree.plans import reports as rep
 from tallytree.plans import sample_documents as docs
 from tallytree.plans import sample_star as sample
 from tallytree.session import scratch_path
-from tallytree.sources import instance, sinks, taxonomy
+from tallytree.sources import instance, listings, sinks, taxonomy
 from tallytree.streaming import refresh
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -470,7 +470,7 @@ named AS (
   SELECT f.filing_id, f.element_id, l.label_string AS label, CAST(c.end_date AS VARCHAR) AS period, {o.VALUE} AS value, f.fact_seq
   FROM x_fact f JOIN x_ctx c USING (filing_id, context_id)
   JOIN x_label l ON l.filing_id = f.filing_id AND l.element_id = f.element_id AND l.label_role = '{o.LABEL}' AND l.lang = 'en-US'
-  WHERE f.decimals IS DISTINCT FROM 'INF')"""
+)"""
 
 
 def _labelled_facts(spark, sf_dir) -> DataFrame:
@@ -478,7 +478,7 @@ def _labelled_facts(spark, sf_dir) -> DataFrame:
     names = star.label.filter(
         (F.col("label_role") == lab.STANDARD_LABEL_ROLE) & (F.col("lang") == lab.LANGUAGE)
     ).select("filing_id", "element_id", F.col("label_string").alias("label"))
-    rows = star.fact.filter(~F.col("decimals").eqNullSafe("INF")).join(
+    rows = star.fact.join(
         star.context.select("filing_id", "context_id", F.col("end_date").cast("string").alias("period")),
         ["filing_id", "context_id"])
     return f.with_value(rows).join(names, ["filing_id", "element_id"])
@@ -511,13 +511,19 @@ def _quarter_ends(first: int = 1995, last: int = 2001) -> list[str]:
     return [f"{year}-{end}" for year in range(first, last + 1) for end in ends]
 
 
+def _periods(rows: DataFrame) -> list[str]:
+    """The periods of the data; those that the SQL names are columns even if no row has them."""
+    return sorted({*_quarter_ends(), *rs.period_values(rows)})
+
+
 @query("statement_wide", o.sql(
     f"""SELECT filing_id, label, {', '.join(
         f"round(coalesce(sum(CASE WHEN period = '{p}' THEN value END), 0), 4) AS q_{p.replace('-', '_')}" for p in _quarter_ends())}
         FROM named GROUP BY filing_id, label""", _LABELLED_FACTS))
 def statement_wide(spark, sf_dir):
-    names = _quarter_ends()
-    wide = rs.pivot_sums(_labelled_facts(spark, sf_dir), ["filing_id", "label"], names)
+    rows = _labelled_facts(spark, sf_dir)
+    names = _periods(rows)
+    wide = rs.pivot_sums(rows, ["filing_id", "label"], names)
     return wide.select("filing_id", "label", *[F.round(f"`{n}`", 4).alias(f"q_{n.replace('-', '_')}") for n in names])
 
 
@@ -529,10 +535,10 @@ def statement_wide(spark, sf_dir):
             WHERE c.dimension1 IS NULL AND c.start_date IS NOT NULL) q1) q2) q3
         GROUP BY filing_id, element_id, decimals"""))
 def pivot_cells(spark, sf_dir):
-    names = _quarter_ends()
     rows = f.with_value(_reported(spark, sf_dir).filter("dimension1 IS NULL AND start_date IS NOT NULL"))
-    wide = rs.pivot_periods(
-        rows.withColumnRenamed("end_date", "period"), ["filing_id", "element_id", "decimals"], names)
+    rows = rows.withColumnRenamed("end_date", "period")
+    names = _periods(rows)
+    wide = rs.pivot_periods(rows, ["filing_id", "element_id", "decimals"], names)
     return wide.select(
         "filing_id", "element_id", "decimals",
         *[F.round(f"`{n}`", 4).alias(f"q_{n.replace('-', '_')}") for n in names])
@@ -586,6 +592,23 @@ def statement_lines(spark, sf_dir):
     ).withColumn("value", _round())
 
 
+_PRINTED = f"""printed AS (
+  SELECT * REPLACE (CAST(period AS VARCHAR) AS period) FROM ({o.BALANCE_SHEET}) b)"""
+
+
+@query("balance_sheet_wide", f"""
+WITH {_PRINTED}
+SELECT filing_id, label AS "Balance sheet", min(section) AS section, min(el_order) AS el_order, {', '.join(
+    f"round(coalesce(sum(CASE WHEN period = '{p}' THEN value END), 0), 4) AS q_{p.replace('-', '_')}" for p in _quarter_ends())}
+FROM printed GROUP BY filing_id, label, element_id, is_total""")
+def balance_sheet_wide(spark, sf_dir):
+    lines = rep.balance_sheet(sample.landed_star(spark, sf_dir))
+    wide = rs.display(lines, "Balance sheet", ["element_id", "is_total"], _periods(lines))
+    wide = rs.drop_columns(wide, "element_id", "is_total")
+    return wide.select(
+        *wide.columns[:4], *[F.round(f"`{n}`", 4).alias(f"q_{n.replace('-', '_')}") for n in wide.columns[4:]])
+
+
 # Filing lists
 
 _LIMITS = {"10-K": 2, "10-Q": 4}
@@ -726,6 +749,39 @@ def candles(spark, sf_dir):
     return pr.candles(sample.prices(spark, sf_dir))
 
 
+@query("company_prices", o.sql(
+    """SELECT date, opening, high, low, closing FROM x_price
+       WHERE ticker = (SELECT min(event_type) FROM events) AND date >= DATE '2024-01-11'"""))
+def company_prices(spark, sf_dir):
+    """The series of one company from a price file, found by its name in the picker list."""
+    path = scratch_path(spark, "price-file")
+    series = sample.prices(spark, sf_dir)
+    series.select(
+        F.col("ticker").alias("symbol"), "date", F.col("opening").alias("X.Open"), F.col("high").alias("X.High"),
+        F.col("low").alias("X.Low"), F.col("closing").alias("X.Close")).write.option("header", "true").csv(path)
+    traded = series.groupBy().agg(F.min("ticker").alias("ticker")).withColumn("operator", F.lit("First on the tape"))
+    companies = listings.known_companies(spark).unionByName(traded)
+    chosen = listings.read_prices(spark, path).join(
+        listings.tickers_of(companies, "First on the tape"), "ticker", "left_semi")
+    return rs.drop_matching(pr.prices_since(chosen, _START), "ticker")
+
+
+@query("filing_table", o.sql(
+    f"""SELECT regexp_replace(c_name, '\\s+', '', 'g') AS company, {_PERIOD} AS period, CAST(filing_date AS VARCHAR) AS filing_date,
+          regexp_replace(type, '\\s+', '', 'g') AS type, href,
+          '<a href="' || replace('{fil.SITE}' || link, '{fil.VIEWER_PREFIX}', '') || '" target="_blank">' || type || '</a>' AS report
+        FROM newest JOIN customer ON c_custkey = company_id
+        LEFT JOIN (SELECT page_id, {_FIRST_LINK} AS link FROM pages) linked ON page_id = company_id
+        WHERE NOT contains(type, 'A')""", _NEWEST))
+def filing_table(spark, sf_dir):
+    """The list of filings as it is shown: company, period, date, type and link, newest of each type."""
+    company = sample.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("company_id"), F.col("c_name").alias("company"))
+    index = sample.filing_index(spark, sf_dir)
+    page = sample.table(spark, sf_dir, "pages").select(F.col("page_id").alias("company_id"), "html")
+    pages = index.select("company_id", "href").distinct().join(page, "company_id").select("href", "html")
+    return fil.filing_table(index, company, pages, _LIMITS, "nav")
+
+
 # Documents, exports and streams
 
 _NATION = "JOIN customer ON c_custkey = filing_id"

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
-_OPEN_SCOPES: list[str] = []
+#: Nested scopes of this thread or task, outermost first.
+_OPEN_SCOPES: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("open_scopes", default=())
+#: Called with each frame before it is pinned; tests look at the plans of all steps with it.
+PIN_HOOKS: list[Callable[[DataFrame, str], None]] = []
 
 
 def build_session(app_name: str = "tallytree", **conf: str) -> SparkSession:
@@ -51,14 +56,14 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _LOCAL_ROOTS.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="tallytree-")
-    )
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tallytree-")
+    return _LOCAL_ROOTS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder, grouped by application so it can be dropped at once."""
-    folders = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES])
+    folders = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES.get()])
     return f"{folders}/{name}-{uuid.uuid4().hex}"
 
 
@@ -72,12 +77,12 @@ def _drop(spark: SparkSession, path: str) -> None:
 def scratch_scope(spark: SparkSession):
     """Drop what was pinned inside the block at its end. Write the results before leaving it."""
     scope = f"scope-{uuid.uuid4().hex}"
-    _OPEN_SCOPES.append(scope)
-    path = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES])
+    outer = _OPEN_SCOPES.set((*_OPEN_SCOPES.get(), scope))
+    path = "/".join([scratch_root(spark), spark.sparkContext.applicationId, *_OPEN_SCOPES.get()])
     try:
         yield
     finally:
-        _OPEN_SCOPES.remove(scope)
+        _OPEN_SCOPES.reset(outer)
         _drop(spark, path)
 
 
@@ -88,6 +93,8 @@ def pin(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     table survives the loss of executors, prunes columns on re-read and knows its own size.
     ``by`` names columns of few values that become folders.
     """
+    for hook in PIN_HOOKS:
+        hook(df, name)
     path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(path)

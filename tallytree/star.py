@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Document order does not survive in Spark, so it is a column: role_seq, arc_seq, label_seq, fact_seq.
 SCHEMAS = {
@@ -23,6 +23,14 @@ SCHEMAS = {
 }
 
 
+#: Partition column of a written star: filings are dealt into a fixed number of buckets.
+BUCKET, BUCKETS = "filing_bucket", 16
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("filing_id"), F.lit(buckets)).cast("int")
+
+
 @dataclass(frozen=True)
 class Star:
     """Seven DataFrames, one row group per filing."""
@@ -38,18 +46,32 @@ class Star:
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Star":
         """Read a star written by :meth:`write`; explicit schemas, no inference job."""
+        return cls(**{name: _table(spark, path, name).drop(BUCKET) for name in SCHEMAS})
+
+    @classmethod
+    def read_filings(cls, spark: SparkSession, path: str, filings: DataFrame) -> "Star":
+        """The star of the given ``filing_id`` rows only; folders of other buckets are not opened.
+
+        The driver sees the buckets of the filings, of which there is a fixed number.
+        """
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        wanted = [r[0] for r in filings.select(_bucket(buckets)).distinct().collect() if r[0] is not None]
         return cls(**{
-            name: spark.read.schema(schema).parquet(f"{path}/{name}")
-            for name, schema in SCHEMAS.items()
-        })
+            name: _table(spark, path, name).filter(F.col(BUCKET).isin(wanted)).drop(BUCKET) for name in SCHEMAS
+        }).only(filings)
+
+    def write(self, path: str, mode: str = "overwrite", buckets: int = BUCKETS) -> None:
+        """Write each table as Parquet, partitioned by bucket of filings and sorted by filing inside.
 
-    def write(self, path: str, mode: str = "overwrite") -> None:
-        """Write each table as Parquet, clustered by filing so row-group statistics prune."""
+        A large bucket is split over several tasks and files.
+        """
+        spark = self.fact.sparkSession
         for field in fields(self):
             table: DataFrame = getattr(self, field.name)
-            (table.select(*column_names(field.name))
-             .sortWithinPartitions("filing_id")
-             .write.mode(mode).parquet(f"{path}/{field.name}"))
+            (table.select(*column_names(field.name), _bucket(buckets).alias(BUCKET))
+             .hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, "filing_id")
+             .write.mode(mode).partitionBy(BUCKET).parquet(f"{path}/{field.name}"))
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
     def only(self, filings: DataFrame) -> "Star":
         """The same star for the given ``filing_id`` rows only."""
@@ -60,5 +82,9 @@ class Star:
         })
 
 
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.schema(f"{SCHEMAS[name]}, {BUCKET} INT").parquet(f"{path}/{name}")
+
+
 def column_names(table: str) -> list[str]:
     return [part.split()[0] for part in SCHEMAS[table].split(", ")]

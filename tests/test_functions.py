@@ -1,6 +1,7 @@
 import datetime as dt
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallytree.functions import numbers as num, periods as per, text as txt
@@ -27,6 +28,18 @@ def test_role_definition_keeps_dashes_in_title(spark):
     assert (d.code, d.type, d.title) == ("00100", "Statement", "BALANCE - Parent only")
 
 
+@pytest.mark.parametrize("html, link", [
+    ("<table><tr><td><table><tr><td>x</td></tr></table><a href='/after'>y</a></td></tr></table><a href='/no'>n</a>", "/after"),
+    ("<table></table><table><a href='/second'>y</a></table>", None),
+    ("<TABLE class='t'><a class='l' HREF=\"/upper\">y</a></TABLE >", "/upper"),
+    ("<tablet><a href='/no'>y</a></tablet><table><a href='/open'>", "/open"),
+    ("</table><table><a href='/stray'>y</a></table>", "/stray"),
+    (None, None), ("", None),
+])
+def test_first_link_of_nested_and_odd_containers(spark, html, link):
+    assert one(spark, txt.first_link("h"), "h STRING", html) == link
+
+
 def test_first_link_of_first_table(spark):
     html = "<p><a href='/no'>x</a></p><TABLE class=t><tr><td><a id=1 href=\"/ix?doc=/a.htm\">a</a><a href='/b'>b</a></td></tr></TABLE>"
     assert one(spark, txt.first_link("h"), "h STRING", html) == "/ix?doc=/a.htm"

@@ -1,4 +1,5 @@
 import os
+import threading
 
 import pytest
 
@@ -51,3 +52,31 @@ def test_star_is_landed_again_if_it_is_gone(spark):
     assert sample_star.landed_star_path(spark, sf_dir) == first
     sample_star._LANDED[key] = first + "-gone"
     assert sample_star.landed_star_path(spark, sf_dir) not in (first, first + "-gone")
+
+
+def test_scopes_of_threads_do_not_meet(spark):
+    """The scope that closes first leaves the pins of the other alone."""
+    opened, closed, kept = threading.Event(), threading.Event(), []
+
+    def other():
+        with session.scratch_scope(spark):
+            kept.append(session.pin(spark.range(3).toDF("x"), "t"))
+            opened.set()
+            closed.wait(60)
+            kept.append(kept[0].count())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    opened.wait(60)
+    with session.scratch_scope(spark):
+        session.pin(spark.range(3).toDF("x"), "t")
+    closed.set()
+    thread.join()
+    assert kept[1] == 3
+
+
+def test_numbering_keeps_null_keys(spark):
+    from tallytree.operators.ordering import numbered
+
+    df = spark.createDataFrame([(None, 2), (None, 1), (1, 5)], "k INT, v INT")
+    assert sorted((r.k or 0, r.v, r.n) for r in numbered(df, ["k"], ["v"], "n").collect()) == [(0, 1, 1), (0, 2, 2), (1, 5, 1)]

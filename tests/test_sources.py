@@ -1,8 +1,11 @@
 import datetime as dt
 import os
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
+from tallytree.session import pin, scratch_path
 from tallytree.sources import instance, listings, sinks, taxonomy
 from tallytree.star import Star
 from tallytree.streaming import refresh
@@ -91,6 +94,98 @@ def test_load_filings(spark, tmp_path):
     assert ("w_X", "credit") in rows(star.element, "element_id", "balance")
 
 
+ODD_INSTANCE = """<?xml version="1.0"?>
+<xbrl xmlns="http://www.xbrl.org/2003/instance" xmlns:us-gaap="g"><!-- <us-gaap:Old contextRef="c1">0</us-gaap:Old> -->
+  <context id="c1"><entity><identifier scheme="s">1</identifier><segment>
+    <typedMember dimension="w:WellAxis"><w:well>Nr. 5 &amp; 6</w:well></typedMember></segment></entity>
+    <period><instant>2019-12-31</instant></period></context>
+  <context id="c2"><entity><identifier scheme="s">1</identifier><segment>
+    <explicitMember dimension="srt:ProductAxis">w:OilMember</explicitMember></segment></entity>
+    <period><instant>2019-12-31</instant></period>
+    <scenario><explicitMember dimension="w:PlanAxis">w:HighMember</explicitMember></scenario></context>
+  <Assets contextRef="c1" decimals="0">12</Assets>
+  <us-gaap:Note contextRef="c1" id="a&gt;b" title='x > "y"'><![CDATA[<p class="c">1 &amp; 2</p><b>x</b>]]> end</us-gaap:Note>
+  <us-gaap:Text contextRef="c1">caf&#233;&#160;&lt;b&gt;</us-gaap:Text>
+  <us-gaap:Empty contextRef="c1"></us-gaap:Empty><us-gaap:Gone contextRef="c1" nil="true"/>
+</xbrl>"""
+SHARED_PRE = """<link:linkbase><link:presentationLink xlink:role="http://r/bs">
+  <link:loc xlink:href="w.xsd#w_Top" xlink:label="top"/><link:loc xlink:href="g.xsd#us-gaap_A" xlink:label="many"/>
+  <link:loc xlink:href="g.xsd#us-gaap_B" xlink:label="many"/><link:loc xlink:href="g.xsd#us-gaap_B" xlink:label="many"/>
+  <link:presentationArc xlink:from="top" xlink:to="many" order="1"/><link:presentationArc xlink:from="many" xlink:to="top" order="2"/>
+</link:presentationLink></link:linkbase>"""
+
+
+def odd_filings(tmp_path):
+    write(str(tmp_path / "0001193125-19-000001"), **{"w-20191231_xml": ODD_INSTANCE, "w-20191231_pre_xml": SHARED_PRE, "w_xsd": XSD})
+    return str(tmp_path)
+
+
+def test_ordinary_documents(spark, tmp_path):
+    """Names as filers use them, dashed folders, default namespace, CDATA, character numbers, comments, nil and empty."""
+    star = instance.load_filings(spark, odd_filings(tmp_path))
+    number = 119312519000001
+    assert rows(star.fact, "filing_id", "fact_seq", "element_id", "fact") == [
+        (number, 1, "Assets", "12"),
+        (number, 2, "us-gaap_Note", '<p class="c">1 &amp; 2</p><b>x</b> end'),
+        (number, 3, "us-gaap_Text", "caf\u00e9\u00a0<b>"),
+        (number, 4, "us-gaap_Empty", ""),
+        (number, 5, "us-gaap_Gone", None),
+    ]
+    assert rows(instance.read_facts(spark, str(tmp_path), default_prefix="us-gaap").limit(1), "element_id") == [("us-gaap_Assets",)]
+    assert rows(star.context, "context_id", "dimension1", "value1", "dimension2") == [
+        ("c1", "w:WellAxis", "Nr. 5 & 6", None), ("c2", "srt:ProductAxis", "w:OilMember", "w:PlanAxis")]
+
+
+def test_shared_locators_give_all_arcs(spark, tmp_path):
+    arcs = instance.read_presentation(spark, odd_filings(tmp_path))
+    assert rows(arcs, "arc_seq", "from_element_id", "to_element_id") == [
+        (1, "w_Top", "us-gaap_A"), (2, "w_Top", "us-gaap_B"), (3, "us-gaap_A", "w_Top"), (4, "us-gaap_B", "w_Top")]
+
+
+def test_nothing_vanishes_silently(spark, tmp_path):
+    write(str(tmp_path / "no-number"), w_ins_xml=INSTANCE)
+    with pytest.raises(Exception, match="no filing number"):
+        instance.read_facts(spark, str(tmp_path / "no-number")).collect()
+    write(str(tmp_path / "all" / "7"), w_ins_xml=INSTANCE)
+    write(str(tmp_path / "all" / "8"), w_pre_xml=PRE)
+    with pytest.raises(instance.MissingInstance, match="8"):
+        instance.load_filings(spark, str(tmp_path / "all"))
+
+
+def test_elements_of_shared_taxonomies(spark, tmp_path):
+    root, shared = tmp_path / "filings", tmp_path / "taxonomy"
+    write(str(root / "7"), w_ins_xml=INSTANCE, w_pre_xml=PRE, w_cal_xml=CAL, w_xsd=XSD)
+    write(str(shared), g_xsd=XSD.replace("w_X", "us-gaap_Assets"))
+    star = instance.load_filings(spark, str(root), taxonomy=str(shared))
+    assert {("us-gaap_Assets", "credit"), ("w_X", "credit")} <= set(rows(star.element, "element_id", "balance"))
+    assert star.element.filter("element_id = 'us-gaap_Cash'").isEmpty()
+
+
+def test_star_opens_the_folders_of_a_batch_only(spark, tmp_path):
+    instance.load_filings(spark, filings(tmp_path / "docs")).write(str(tmp_path / "star"), buckets=64)
+    batch = spark.createDataFrame([(7,)], "filing_id BIGINT")
+    found = Star.read_filings(spark, str(tmp_path / "star"), batch)
+    assert found.fact.count() == 4 and rows(found.role.select("filing_id").distinct()) == [(7,)]
+    plan = found.fact._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*filing_bucket", plan)
+
+
+def test_refresh_leaves_no_scratch_behind(spark, tmp_path):
+    star = instance.load_filings(spark, filings(tmp_path / "docs"))
+    star.write(str(tmp_path / "star"))
+    folder = os.path.dirname(scratch_path(spark, "x").removeprefix("file:"))
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    arrivals, target = str(tmp_path / "arrivals"), str(tmp_path / "out")
+    spark.createDataFrame([(7, dt.datetime(2024, 1, 1))], "filing_id BIGINT, arrived_at TIMESTAMP").write.parquet(arrivals)
+    refresh.refresh_statements(
+        spark, arrivals, str(tmp_path / "star"), target, str(tmp_path / "cp"),
+        lambda s: pin(s.fact.groupBy("filing_id").agg(F.count("*").alias("n")), "x")).awaitTermination(120)
+    assert rows(refresh.current_rows(spark, target), "filing_id", "n") == [(7, 4)]
+    assert set(os.listdir(folder)) == before
+    refresh.compact(spark, target, str(tmp_path / "compact"))
+    assert rows(refresh.current_rows(spark, str(tmp_path / "compact")), "filing_id", "n") == [(7, 4)]
+
+
 def test_taxonomy(spark, tmp_path):
     write(str(tmp_path), t_xsd=XSD)
     path = str(tmp_path)

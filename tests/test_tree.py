@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from tallytree.operators import ordering, tree
@@ -42,10 +41,9 @@ def test_cycle_is_not_followed(spark):
     assert [x for x, _ in lines(tree.tree_lines(arcs(spark, going_on)))] == ["C"]
 
 
-def test_too_deep_raises(spark):
-    chain = [(f"n{i}", f"n{i + 1}", "1") for i in range(5)]
-    with pytest.raises(tree.TreeTooDeep):
-        tree.tree_paths(arcs(spark, chain), max_depth=3)
+def test_depth_has_no_limit(spark):
+    chain = [(f"n{i}", f"n{i + 1}", "1") for i in range(66)] + [("n3", "side", "2")]
+    assert [x for x, _ in lines(tree.tree_lines(arcs(spark, chain)))] == ["n66", "side"]
 
 
 def test_same_element_in_other_filing_is_another_tree(spark):
