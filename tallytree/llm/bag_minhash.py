@@ -29,6 +29,8 @@ from tallytree.session import pin
 BANDS, ROWS = 36, 6
 #: Components of a signature: the bands take the first, the sketch keeps two bits of each.
 COMPONENTS = 432
+#: Points drawn in one step over all open processes, about.
+DRAWS = 1 << 18
 _U = np.uint64
 
 
@@ -73,7 +75,7 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
         time, step = at[:, -1], step + _U(many)
         open_ = time <= best.max(axis=1)[doc]
         doc, top, seed, low, length, time, step = (x[open_] for x in (doc, top, seed, low, length, time, step))
-        many = min(16, 2 * many)
+        many = min(16, 2 * many, max(1, DRAWS // max(1, doc.size)))
     return best
 
 

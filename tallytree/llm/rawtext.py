@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +14,15 @@ SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Bytes of text that one vectorised step looks at; a longer row is a step of its own.
-CHUNK_BYTES = 1 << 20
+#: Bytes and rows of text that one vectorised step looks at; a longer row is a step of its own.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 2048
 
 _RADIX = 0x9E3779B97F4A7C15
 _RADIX_INVERSE = pow(_RADIX, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
+#: Tables that a worker process keeps from task to task; functions that travel by value bring no state of their own.
+_KEPT = "tallytree_llm_kept_tables"
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -35,12 +38,13 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0, 1, ... n - 1 modulo 2 ** 64; the longest table made so far is kept."""
-    have = _powers.get(base)
+    kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    have = kept.get(str(base))
     if have is None or have.size < n:
         size = max(n, CHUNK_BYTES + 65536)
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = kept[str(base)] = np.multiply.accumulate(steps)
     return have[:n]
 
 
@@ -64,10 +68,10 @@ class RollingHash:
 
 
 def row_chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Slices of consecutive rows of about ``limit`` bytes."""
+    """Slices of consecutive rows of about ``limit`` bytes, CHUNK_ROWS rows at most."""
     start = total = 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > limit:
+        if total and total + size > limit or i - start == CHUNK_ROWS:
             yield start, i
             start, total = i, 0
         total += size
