@@ -222,7 +222,7 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     signed = pin(sign(source, bands, rows, words), "bag-signatures")
     texts = pin(first_per(signed.filter("weight > 0"), ["text_key"], [F.asc_nulls_last("row_id")]), "bag-texts")
 
-    members = texts.select("text_key", F.explode("bands").alias("bucket"))
+    members = texts.select("text_key", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
         members.groupBy("bucket").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
         .filter("low <> high")
@@ -255,24 +255,27 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     roots = pin(components(links), "bag-roots")
 
     # What the leaders left apart: all pairs of a bucket across components.
-    placed = members.select("bucket", "text_key").join(
+    placed = members.select("bucket", "band", "text_key").join(
         roots.withColumnRenamed("node", "text_key"), "text_key", "left"
     ).withColumn("root", F.coalesce("root", "text_key"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
     open_ = pin(placed.join(split.select("bucket"), "bucket"), "bag-open")
     # Edits of their own keep most texts of a crowd from overlapping enough with anything: an exact bound.
-    single = open_.select("text_key").distinct().join(texts.select("text_key", "weight", "sketch"), "text_key")
+    single = open_.select("text_key").distinct().join(texts.select("text_key", "weight", "sketch", "bands"), "text_key")
     bound = shareable(single.join(wanted, "text_key").select("text_key", "weight", "text"), words)
     single = pin(
         single.join(bound, "text_key").filter(F.col("can_share") >= F.lit(threshold) * F.col("weight") - F.lit(1e-9)), "bag-able")
     open_ = open_.join(single, "text_key")
     half = lambda x: open_.select(
-        "bucket", F.col("text_key").alias(x), F.col("root").alias(f"{x}_root"),
+        "bucket", "band", F.col("text_key").alias(x), F.col("root").alias(f"{x}_root"), F.col("bands").alias(f"{x}_bands"),
         F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"), F.col("can_share").alias(f"{x}_share"))
     most = F.least("a_share", "b_share")
     enough = most >= F.lit(threshold) * (F.col("a_weight") + F.col("b_weight") - most) - F.lit(1e-9)
-    rest = half("a").join(half("b"), "bucket").filter(
-        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough & alike).select("a", "b").distinct()
+    # A pair counts in the first band that it shares; bands salt their buckets, so equal ones are of one band.
+    before = [F.slice(f"{x}_bands", F.lit(1), F.col("band")) for x in ("a", "b")]
+    rest = half("a").join(half("b").drop("band"), "bucket").filter(
+        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough & alike & ~F.arrays_overlap(*before)
+    ).select("a", "b").distinct()
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = pin(verified(rest), "bag-more-links")
     if not more.isEmpty():
