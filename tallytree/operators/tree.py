@@ -1,7 +1,8 @@
 """Walking the presentation tree of every filing at once.
 
-Each level is one equi-join on the tip of the live paths, pinned before the next level, so
-lineage stays flat and the number of joins is the depth of the deepest tree.
+Each level is one equi-join of the live paths with the arcs to inner nodes, pinned before the next
+level, so lineage stays flat and the number of joins is the depth of the deepest tree. Leaves, which
+most arcs lead to, join once.
 """
 
 from __future__ import annotations
@@ -67,33 +68,40 @@ def tree_paths(
         F.array(_root_key(order_mode)).alias("path_key"),
         F.col("element_id").alias("tip"),
     )
-    finished: list[DataFrame] = []
+    # Most arcs end in a leaf: the walk follows the others, and leaves join once at its end.
+    inner = edges.filter("expands").drop("expands")
+    leaves = edges.filter("NOT expands").drop("expands")
+    nodes, closed = [frontier], []
     while True:
         step = pin(
-            frontier.join(edges, [*keys, "tip"]).select(
+            frontier.join(inner, [*keys, "tip"]).select(
                 *keys,
                 F.concat("path", F.array("to_element_id")).alias("path"),
                 F.concat("path_key", F.array("sibling")).alias("path_key"),
                 F.array_contains("path", F.col("to_element_id")).alias("leads_back"),
-                "expands",
             ),
             "tree-level",
         )
         # One row: whether any path goes on and whether any arc leads back.
         flags = step.agg(
-            F.max(~F.col("leads_back") & F.col("expands")).alias("goes_on"),
-            F.max("leads_back").alias("leads_back"),
-        ).first()
-        finished.append(step.filter("NOT leads_back AND NOT expands").select(*keys, "path", "path_key"))
+            F.max(~F.col("leads_back")).alias("goes_on"), F.max("leads_back").alias("leads_back")).first()
         if flags["leads_back"]:
-            finished.append(_closed_paths(step, keys))
+            closed.append(_closed_paths(step, keys))
         if not flags["goes_on"]:
             break
-        frontier = step.filter("NOT leads_back AND expands").select(
+        frontier = step.filter("NOT leads_back").select(
             *keys, "path", "path_key", F.element_at("path", -1).alias("tip")
         )
-    paths = reduce(DataFrame.unionByName, finished)
-    return paths.select(*keys, "path", "path_key", tree_leaf("path").alias("element_id"))
+        nodes.append(frontier)
+    ends = reduce(DataFrame.unionByName, nodes).join(leaves, [*keys, "tip"]).select(
+        *keys, F.concat("path", F.array("to_element_id")).alias("path"),
+        F.concat("path_key", F.array("sibling")).alias("path_key"),
+    )
+    if closed:
+        # A path whose other arcs lead back goes on to its leaves, if it has any.
+        stuck = reduce(DataFrame.unionByName, closed).withColumn("tip", F.element_at("path", -1))
+        ends = ends.unionByName(stuck.join(leaves, [*keys, "tip"], "left_anti").drop("tip"))
+    return ends.select(*keys, "path", "path_key", tree_leaf("path").alias("element_id"))
 
 
 def _root_key(order_mode: str) -> Column:
@@ -104,7 +112,7 @@ def _root_key(order_mode: str) -> Column:
 
 
 def _closed_paths(step: DataFrame, keys: list[str]) -> DataFrame:
-    """Paths whose tip has arcs, all of which lead back."""
+    """Paths of a step whose arcs to inner nodes all lead back."""
     without_last = [
         F.slice(c, 1, F.size(c) - 1).alias(c) for c in ("path", "path_key")
     ]
