@@ -62,19 +62,23 @@ def signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, texts:
     length = np.where(level == 0, 1, low)
     doc, top = row[owner], weight[owner]
     seed = mixed(element[owner] ^ mixed(level.astype(_U) + _U(1)))
-    time, step, many = np.zeros(owner.size), np.zeros(owner.size, dtype=_U), 1
+    total, step, many = np.zeros(owner.size), np.zeros(owner.size, dtype=_U), 1
     while doc.size:
         # ``many`` further points of every process that is still open.
         drawn = mixed(seed[:, None] + (step[:, None] + np.arange(many, dtype=_U)) * _U(0xD1B54A32D192ED03))
-        at = time[:, None] + np.cumsum(-np.log(_uniform(drawn)), axis=1) / (m * length)[:, None]
+        # Gaps are added one after the other, from the first point on: how many are drawn at a time does not change a bit.
+        gaps = -np.log(_uniform(drawn))
+        gaps[:, 0] += total
+        sums = np.cumsum(gaps, axis=1)
+        at = sums / (m * length)[:, None]
         place = mixed(drawn ^ _U(0xA0761D6478BD642F))
         spot = low[:, None] + np.floor(_uniform(mixed(place ^ _U(0xE7037ED1A0B428DB))) * length[:, None]).astype(np.int64)
         alive = (spot < top[:, None]) & (at <= best.max(axis=1)[doc][:, None])
         cell = doc[:, None] * m + (place % _U(m)).astype(np.int64)
         np.minimum.at(best.reshape(-1), cell[alive], at[alive])
-        time, step = at[:, -1], step + _U(many)
-        open_ = time <= best.max(axis=1)[doc]
-        doc, top, seed, low, length, time, step = (x[open_] for x in (doc, top, seed, low, length, time, step))
+        total, step = sums[:, -1], step + _U(many)
+        open_ = at[:, -1] <= best.max(axis=1)[doc]
+        doc, top, seed, low, length, total, step = (x[open_] for x in (doc, top, seed, low, length, total, step))
         many = min(16, 2 * many, max(1, DRAWS // max(1, doc.size)))
     return best
 

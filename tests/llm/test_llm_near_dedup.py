@@ -89,6 +89,21 @@ def test_signature_is_unbiased():
     assert abs(np.mean(errors)) < 3 * 0.5 / math.sqrt(2048 * 8)
 
 
+def test_signature_does_not_depend_on_the_batch():
+    r = random.Random(8)
+    words = [f"w{r.randrange(50)}" if k % 3 else "again" for k in range(200)]
+    text = (" ".join(words) + " once more and" * 40).encode()
+    others = [" ".join(f"{k}x{i}" for i in range(140)).encode() for k in range(2000)]
+    signed = []
+    for batch in ([text], [text, *others[:300]], [text, *others]):
+        row, element, weight = bag_minhash.weighted_shingles(batch, 5)
+        assert len(batch) < 2000 or row.size > bag_minhash.DRAWS
+        signed.append(bag_minhash.signatures(row, element, weight, len(batch), bag_minhash.COMPONENTS)[:1])
+    for other in signed[1:]:
+        assert (other == signed[0]).all()
+        assert (bag_minhash._bands(other, 36, 6) == bag_minhash._bands(signed[0], 36, 6)).all()
+
+
 def test_signature_does_not_depend_on_company():
     texts = [b"a b c d e f g h", b"", b"x y", b"a b c d e f g h i"]
     whole = bag_minhash.signatures(*bag_minhash.weighted_shingles(texts, 5), 4, 64)
