@@ -25,9 +25,11 @@ _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*
 _WORDS = re.compile(r"[a-z]+")
 
 #: Elements whose content is never text.
-SILENT = frozenset("script style noscript template iframe svg math object embed canvas audio video head title textarea select option datalist button".split())
+SILENT = frozenset("script style noscript template iframe svg math object embed canvas audio video head title textarea select optgroup option datalist button".split())
 #: Of these, the content is raw: nothing but their own end tag ends them.
 RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Of these, those that lie in one another.
+NESTED = frozenset("svg math object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What elements are by their tag, and by words of their class, id or role.
@@ -59,12 +61,29 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return chrome, tag in TEXT_TAGS or "articlebody" in names or names & TEXT_WORDS == {"article"} or "main" in names
 
 
+def _left_open(page: str, tag: str, at: int) -> bool:
+    """Whether a silent element that starts before ``at`` has no end tag of its own; a head need not have one."""
+    if tag == "head":
+        return True
+    follows = _SAME[tag].search(page, at)
+    return not follows or not follows[1]
+
+
+#: The next tag of the name, or the next end tag where elements lie in one another.
+_SAME = {t: re.compile(rf"<(/){'' if t in NESTED else '?'}{t}(?![a-z0-9:-])", re.IGNORECASE) for t in SILENT}
+
+
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; character references are decoded and white space is folded."""
+    """The text blocks of a page in order; character references are decoded and white space is folded.
+
+    A silent element ends with its own end tag, with that of an element around it, or where an article, main or body starts;
+    one that is left open ends at the next block at the latest.
+    """
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # (tag, chrome, text container) with what holds from outside
-    links = silent = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # (tag, chrome, text container, silent: 1, 2 if left open) with what holds from outside
+    links = 0
+    unended: set[str] = set()  # tags with no end tag in the rest of the page
     heading = False
     at = 0
 
@@ -78,10 +97,19 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(whole, whole.count(" ") + 1, linked, chrome, inside, heading))
             parts.clear()
 
+    def close(name: str) -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == name:
+                del stack[k:]
+                break
+
     n = len(page)
     while at < n:
         token = _TOKEN.search(page, at)
         text = page[at : token.start()] if token else page[at:]
+        if stack and stack[-1][0] == "head" and text.strip():
+            stack.pop()
+        silent = stack[-1][3] if stack else 0
         if text and not silent:
             parts.append((text, links > 0))
         if not token:
@@ -103,7 +131,21 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in SILENT:
             flush()
-            silent = max(0, silent - 1) if closing else silent + (tag not in VOID and not attributes.endswith("/"))
+            if closing:
+                close(tag)
+            elif tag not in VOID and not attributes.endswith("/"):
+                if tag in ("option", "optgroup"):
+                    while stack and stack[-1][0] in ("option", tag):
+                        stack.pop()
+                    own = 1 if any(e[0] in ("select", "datalist") for e in stack if e[3]) else 2
+                else:
+                    if tag not in NESTED:
+                        close(tag)
+                    own = 2 if tag in unended or _left_open(page, tag, at) else 1
+                    if own == 2 and tag in NESTED:
+                        unended.add(tag)
+                chrome, inside, outer = stack[-1][1:] if stack else (False, False, 0)
+                stack.append((tag, chrome, inside, max(outer, own)))
             continue
         if tag in INLINE:
             if tag == "a":
@@ -113,23 +155,23 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            close(tag)
             heading = False
             links = 0
             continue
-        if tag == "body":
-            silent = 0
+        if silent:
+            ends = 1 if tag in TEXT_TAGS or tag == "body" else 2
+            first = next((k for k, e in enumerate(stack) if e[3] >= ends), len(stack))
+            del stack[first:]
         if tag == "p" and stack and stack[-1][0] == "p":
             stack.pop()
         if tag in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
             stack.pop()
         chrome, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        silent = stack[-1][3] if stack else 0
         own_chrome, own_inside = _kind(tag, attributes, inside)
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((tag, chrome or own_chrome, (inside or own_inside) and not (chrome or own_chrome)))
+        stack.append((tag, chrome or own_chrome, (inside or own_inside) and not (chrome or own_chrome), silent))
     flush()
     return out
 

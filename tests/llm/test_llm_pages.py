@@ -37,6 +37,22 @@ def test_main_text(page, want):
     assert text_of(page) == want
 
 
+@pytest.mark.parametrize("before", [
+    "<select><option>A<option>B</select>", "<form><select><optgroup label=x><option>A<optgroup label=y><option>B</select></form>",
+    "<input list=l><datalist id=l><option value=A><option value=B></datalist>", "<div><select><option>A<option>B</div>", "<option>A<option>B",
+    "<button>Go", "<div><button>Go</div><button>Stop</button>", "<button>Go<button>Stop</button>", "<div><object data=x><param name=y></div>",
+    "<video src=x>", "<audio src=x><canvas>", "<svg><path d='M0'/>", "<svg><g><svg><text>s</text></svg><text>t</text></g></svg>",
+])
+def test_silent_elements_end(before):
+    for article in (f"<article>{ARTICLE}</article>", f"<div>{ARTICLE}</div>"):
+        assert text_of(f"<html><head><title>T</title></head><body>{before}{article}</body></html>") == ARTICLE[3:-4].strip()
+
+
+def test_silent_elements_stay_silent():
+    assert text_of("<article><p>a</p><button><div>x</div><p>y</p></button><select><option>A<option>B</select><p>b</p></article>") == "a b"
+    assert text_of("<head><title>T</title><meta name=x><p>" + ARTICLE) == ARTICLE[3:-4].strip()
+
+
 def test_tree_learns_its_table():
     import numpy as np
 
