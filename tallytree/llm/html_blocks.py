@@ -41,6 +41,17 @@ CHROME_WORDS = frozenset((
     "discussion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended recommendations widget pagination pager copyright legal disclaimer search form "
     "complementary contentinfo alert").split())
+#: Words that a name may hold beside those; any other word makes it the name of something else (no-sidebar, related-work).
+PLAIN_WORDS = frozenset((
+    "site page main global primary secondary inner outer top bottom left right header head box block container wrapper wrap section "
+    "area bar list item items link links post posts article articles story stories button buttons icons title content body "
+    "text form count us more and the of").split())
+#: What also names a section of an article.
+SECTION_WORDS = frozenset("discussion legal notice notices alert disclaimer copyright".split())
+#: Chrome whatever lies in it: remarks, and cards of other articles.
+REMARK_WORDS = frozenset("comment comments respond reply replies disqus discussion".split())
+CARD_WORDS = frozenset("related recommended recommendations".split())
+CARD_TAGS = frozenset("nav footer aside menu dialog".split())
 TEXT_WORDS = frozenset("article articlebody main content post entry story body text".split())
 
 
@@ -54,11 +65,39 @@ class Block:
     heading: bool
 
 
-def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(chrome, text container) of an element."""
-    names = {w for m in _NAMES.finditer(attributes) for w in _WORDS.findall((m[1] or m[2] or m[3] or "").lower())}
-    chrome = tag in CHROME_TAGS or (tag == "header" and not inside) or (tag not in TEXT_TAGS and tag not in ("body", "html") and bool(names & CHROME_WORDS))
-    return chrome, tag in TEXT_TAGS or "articlebody" in names or names & TEXT_WORDS == {"article"} or "main" in names
+class Element:
+    """An open tag; ``holds`` names what starts inside it, which is known when the page has been read."""
+
+    __slots__ = ("tag", "parent", "silent", "names", "words", "firm", "holds", "chrome", "inside", "article")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, silent: int):
+        self.tag, self.parent, self.silent, self.holds = tag, parent, silent, set()
+        tokens = [frozenset(_WORDS.findall(t)) for m in _NAMES.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()]
+        self.names = frozenset().union(*tokens)
+        named = tag not in TEXT_TAGS and tag not in ("body", "html")
+        self.words = frozenset().union(*(t & CHROME_WORDS for t in tokens if t <= CHROME_WORDS | PLAIN_WORDS)) if named else frozenset()
+        own = 2 if self.words & REMARK_WORDS else int(tag in CARD_TAGS or bool(self.words & CARD_WORDS))
+        #: 1 where articles are cards, 2 where they are remarks.
+        self.firm = max(own, parent.firm if parent else 0)
+        if not silent and tag in ("article", "main", "h1", "p"):
+            e, bound = parent, 2 if tag == "main" else 1
+            while e and e.firm < bound and tag not in e.holds:
+                e.holds.add(tag)
+                e = e.parent
+
+    def judge(self) -> None:
+        """Whether it is chrome and whether text; parents come first."""
+        up = self.parent
+        chrome, inside, self.article = (up.chrome, up.inside, up.article or up.tag == "article") if up else (False, False, False)
+        words = self.words - SECTION_WORDS if inside else self.words
+        own = self.tag in CHROME_TAGS or (self.tag == "header" and not inside) or bool(words)
+        if own and not self.article:
+            titled = {"h1", "p"} <= self.holds and self.tag != "header" and not inside
+            own = not (self.holds & TEXT_TAGS or titled)
+        text = (self.tag in TEXT_TAGS or "articlebody" in self.names or self.names & TEXT_WORDS == {"article"}
+                or "main" in self.names)
+        self.chrome = chrome or own
+        self.inside = (inside or text) and not self.chrome
 
 
 def _left_open(page: str, tag: str, at: int) -> bool:
@@ -81,7 +120,9 @@ def blocks(page: str) -> list[Block]:
     """
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # (tag, chrome, text container, silent: 1, 2 if left open) with what holds from outside
+    stack: list[Element] = []  # silent: 1, 2 if left open, also from outside
+    met: list[Element] = []
+    owners: list[Element | None] = []
     links = 0
     unended: set[str] = set()  # tags with no end tag in the rest of the page
     heading = False
@@ -93,13 +134,17 @@ def blocks(page: str) -> list[Block]:
             whole = " ".join(html.unescape("".join(t for t, _ in parts)).split())
             if whole:
                 linked = sum(len(html.unescape(t).split()) for t, in_link in parts if in_link)
-                chrome, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(Block(whole, whole.count(" ") + 1, linked, chrome, inside, heading))
+                out.append(Block(whole, whole.count(" ") + 1, linked, False, False, heading))
+                owners.append(stack[-1] if stack else None)
             parts.clear()
 
+    def start(name: str, attributes: str, silent: int) -> None:
+        stack.append(Element(name, attributes, stack[-1] if stack else None, silent))
+        met.append(stack[-1])
+
     def close(name: str) -> None:
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
+            if stack[k].tag == name:
                 del stack[k:]
                 break
 
@@ -107,9 +152,9 @@ def blocks(page: str) -> list[Block]:
     while at < n:
         token = _TOKEN.search(page, at)
         text = page[at : token.start()] if token else page[at:]
-        if stack and stack[-1][0] == "head" and text.strip():
+        if stack and stack[-1].tag == "head" and text.strip():
             stack.pop()
-        silent = stack[-1][3] if stack else 0
+        silent = stack[-1].silent if stack else 0
         if text and not silent:
             parts.append((text, links > 0))
         if not token:
@@ -135,17 +180,16 @@ def blocks(page: str) -> list[Block]:
                 close(tag)
             elif tag not in VOID and not attributes.endswith("/"):
                 if tag in ("option", "optgroup"):
-                    while stack and stack[-1][0] in ("option", tag):
+                    while stack and stack[-1].tag in ("option", tag):
                         stack.pop()
-                    own = 1 if any(e[0] in ("select", "datalist") for e in stack if e[3]) else 2
+                    own = 1 if any(e.tag in ("select", "datalist") for e in stack) else 2
                 else:
                     if tag not in NESTED:
                         close(tag)
                     own = 2 if tag in unended or _left_open(page, tag, at) else 1
                     if own == 2 and tag in NESTED:
                         unended.add(tag)
-                chrome, inside, outer = stack[-1][1:] if stack else (False, False, 0)
-                stack.append((tag, chrome, inside, max(outer, own)))
+                start(tag, "", max(stack[-1].silent if stack else 0, own))
             continue
         if tag in INLINE:
             if tag == "a":
@@ -161,18 +205,20 @@ def blocks(page: str) -> list[Block]:
             continue
         if silent:
             ends = 1 if tag in TEXT_TAGS or tag == "body" else 2
-            first = next((k for k, e in enumerate(stack) if e[3] >= ends), len(stack))
+            first = next((k for k, e in enumerate(stack) if e.silent >= ends), len(stack))
             del stack[first:]
-        if tag == "p" and stack and stack[-1][0] == "p":
+        if tag == "p" and stack and stack[-1].tag == "p":
             stack.pop()
-        if tag in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1][0] == tag:
+        if tag in ("li", "td", "th", "tr", "dt", "dd") and stack and stack[-1].tag == tag:
             stack.pop()
-        chrome, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        silent = stack[-1][3] if stack else 0
-        own_chrome, own_inside = _kind(tag, attributes, inside)
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        stack.append((tag, chrome or own_chrome, (inside or own_inside) and not (chrome or own_chrome), silent))
+        start(tag, attributes, stack[-1].silent if stack else 0)
     flush()
+    for element in met:
+        element.judge()
+    for block, element in zip(out, owners):
+        if element:
+            block.chrome, block.inside = element.chrome, element.inside
     return out
 
 

@@ -48,6 +48,30 @@ def test_silent_elements_end(before):
         assert text_of(f"<html><head><title>T</title></head><body>{before}{article}</body></html>") == ARTICLE[3:-4].strip()
 
 
+@pytest.mark.parametrize("wrapper", [
+    "<div class='layout no-sidebar'>", "<div id='page-with-nav'>", "<div class='has-cookie-banner'>", "<div class='layout sidebar'>",
+    "<form id='aspnetForm'>", "<div class='widget'><form>", "<main><form>",
+])
+def test_wrappers_are_not_chrome(wrapper):
+    menu, note = "<nav><a href=/>Home</a></nav>", "<div class='site-footer'><p>" + "Words at the end of the page. " * 9 + "</p></div>"
+    for article in (f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", f"<div><h1>Head</h1>{ARTICLE}</div>"):
+        want = ("Head " if "Head" in article else "") + ARTICLE[3:-4].strip()
+        if wrapper != "<main><form>" or "Head" not in article:
+            assert text_of(f"<body>{wrapper}{menu}{article}{note}</body>") == want
+
+
+def test_sections_of_an_article_are_text():
+    sections = "".join(f"<section id='{x}'><p>{x[:3]} one</p></section>" for x in ("discussion", "related-work", "legal"))
+    ads = "<div class='ad-box'><p>buy</p></div><div class='related-posts'><p>more</p></div>"
+    assert text_of(f"<article><p>a</p>{sections}{ads}<p>b</p></article>") == "a dis one rel one leg one b"
+
+
+def test_articles_below_remarks_are_not_text():
+    remarks = "<section id='comments'><article><p>" + "Nice text indeed. " * 9 + "</p></article></section>"
+    cards = "<aside><article><p>card</p></article></aside><div class='related'><article><h1>x</h1><p>card</p></article></div>"
+    assert text_of(f"<article><p>body</p></article>{remarks}{cards}") == "body"
+
+
 def test_silent_elements_stay_silent():
     assert text_of("<article><p>a</p><button><div>x</div><p>y</p></button><select><option>A<option>B</select><p>b</p></article>") == "a b"
     assert text_of("<head><title>T</title><meta name=x><p>" + ARTICLE) == ARTICLE[3:-4].strip()
