@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallytree.llm import (
-    bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, pairwise_quality, pareto_mix, slack_packing,
-    sql, suffix_dedup, warc_index,
+    bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, level_doubling, pairwise_quality, pareto_mix,
+    slack_packing, sql, suffix_dedup, warc_index,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_forest": sql.EMBEDDING_FOREST,
     "op4_pareto_mix": sql.PARETO_MIX,
     "op10_warc_index": sql.WARC_INDEX,
+    "op11_level_doubling": sql.LEVEL_DOUBLING,
 }
 
 
@@ -93,3 +94,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of all pages, from the merged index of their archives."""
     out = warc_index.capture_history(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op11_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated runs of 35 words take from every document, and the words that it keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return level_doubling.remove_repeats(docs).withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")

@@ -67,6 +67,26 @@ class RollingHash:
         return mixed((self._sums[size:] - self._sums[:-size]) * self._inverse[: self._sums.size - size])
 
 
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """The minimum of every run of ``width`` values: running minima from both ends of blocks."""
+    n = values.size - width + 1
+    pad = -values.size % width
+    blocks = np.concatenate((values, np.full(pad, np.iinfo(np.uint64).max, dtype=np.uint64))).reshape(-1, width)
+    forth = np.minimum.accumulate(blocks, axis=1).reshape(-1)
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
+
+
+def places_of_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Where the smallest of every ``width`` consecutive hashes stands, the leftmost of equal ones.
+
+    The lowest bits of a hash give way to its place, so it is the order of the upper bits that counts.
+    """
+    bits = np.uint64(max(1, int(hashes.size).bit_length()))
+    ranked = (hashes >> bits << bits) | np.arange(hashes.size, dtype=np.uint64)
+    return (sliding_min(ranked, width) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
 def row_chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Slices of consecutive rows of about ``limit`` bytes, CHUNK_ROWS rows at most."""
     start = total = 0

@@ -106,3 +106,20 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
 FROM letters
 """
+
+LEVEL_DOUBLING = f"""
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT row, i, array_to_string(w[i:i + 34], ' ') AS run
+  FROM (SELECT row, w, unnest(range(1, len(w) - 33)) AS i FROM split WHERE len(w) >= 35)),
+twice AS (SELECT run FROM windows GROUP BY run HAVING count(*) > 1),
+covered AS (
+  SELECT row, list(DISTINCT place) AS places
+  FROM (SELECT row, unnest(range(i, i + 35)) AS place FROM windows JOIN twice USING (run)) GROUP BY row),
+kept AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+         array_to_string(CASE WHEN places IS NULL THEN w
+           ELSE list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(places, j)), lambda j: w[j]) END, ' ') AS text
+  FROM split LEFT JOIN covered USING (row))
+SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256, text FROM kept
+"""

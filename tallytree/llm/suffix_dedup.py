@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallytree.llm.rawtext import RollingHash, batches, mixed
+from tallytree.llm.rawtext import RollingHash, batches, mixed, places_of_minima
 from tallytree.session import pin
 
 LENGTH, ANCHOR = 400, 128
@@ -99,16 +99,6 @@ def deep_shallow_order(strings: list[bytes], depth: int = 0, shallow: int = SHAL
     return out
 
 
-def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
-    """The minimum of every run of ``width`` values: running minima from both ends of blocks."""
-    n = values.size - width + 1
-    pad = -values.size % width
-    blocks = np.concatenate((values, np.full(pad, np.iinfo(np.uint64).max, dtype=_U))).reshape(-1, width)
-    forth = np.minimum.accumulate(blocks, axis=1).reshape(-1)
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
-
-
 def anchors_of(texts: list[bytes], length: int, anchor: int):
     """(text, place, least and most distance of the windows' starts before it, anchor hash, surroundings hash)."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -118,9 +108,7 @@ def anchors_of(texts: list[bytes], length: int, anchor: int):
     ends = np.cumsum(sizes)
     rolling = RollingHash(data)
     whole = rolling.windows(anchor)
-    bits = _U(max(1, int(whole.size).bit_length()))
-    ranked = (whole >> bits << bits) | np.arange(whole.size, dtype=_U)
-    place = (_sliding_min(ranked, length - anchor + 1) & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    place = places_of_minima(whole, length - anchor + 1)
     start = np.arange(place.size)
     row = np.repeat(np.arange(len(texts)), sizes)[: place.size]
     ok = start + length <= ends[row]

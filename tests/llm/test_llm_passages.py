@@ -7,6 +7,7 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 
 from tallytree.llm import suffix_dedup as sd
+from tallytree.llm.rawtext import sliding_min
 
 from conftest import rows
 
@@ -32,7 +33,7 @@ def test_common_prefix():
 def test_sliding_minimum():
     values = np.random.default_rng(0).integers(0, 1000, 500).astype(np.uint64)
     for width in (1, 2, 7, 100, 500):
-        assert (sd._sliding_min(values, width) == [values[i:i + width].min() for i in range(500 - width + 1)]).all()
+        assert (sliding_min(values, width) == [values[i:i + width].min() for i in range(500 - width + 1)]).all()
 
 
 def brute(texts, length):
