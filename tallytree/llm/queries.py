@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallytree.llm import (
-    bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, level_doubling, pairwise_quality, pareto_mix,
-    slack_packing, sql, suffix_dedup, warc_index,
+    bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, interval_labels, level_doubling,
+    pairwise_quality, pareto_mix, slack_packing, sql, suffix_dedup, warc_index,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_pareto_mix": sql.PARETO_MIX,
     "op10_warc_index": sql.WARC_INDEX,
     "op11_level_doubling": sql.LEVEL_DOUBLING,
+    "op13_interval_labels": sql.INTERVAL_LABELS,
 }
 
 
@@ -101,3 +102,9 @@ def op11_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated runs of 35 words take from every document, and the words that it keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return level_doubling.remove_repeats(docs).withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")
+
+
+@query
+def op13_interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the manifest, with a check of its proof."""
+    return interval_labels.manifest(table(spark, sf_dir, "documents"))

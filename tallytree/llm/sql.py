@@ -123,3 +123,55 @@ kept AS (
   FROM split LEFT JOIN covered USING (row))
 SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256, text FROM kept
 """
+
+
+def crc32(text: str) -> str:
+    """The CRC-32 of an ASCII text: a step per byte, then eight shifts by the reversed polynomial."""
+    steps = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: [ascii(substr({text}, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    fold = f"list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)"
+    return f"xor({fold}, 4294967295::BIGINT)"
+
+
+def _framed(column: str) -> str:
+    return f"coalesce(strlen(({column})::VARCHAR)::VARCHAR || ':' || ({column})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_framed(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_PARENTS = "list_transform(range(0, (len(h) + 1) // 2), lambda j: sha256(h[2 * j + 1] || coalesce(h[2 * j + 2], '')))"
+
+INTERVAL_LABELS = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS row, doc_id, lang, {_leaf("n_chars")} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND n_chars IS NOT NULL AND {crc32("doc_id::VARCHAR")} % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS given
+  FROM documents),
+trees AS (SELECT lang, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) AS tree FROM (SELECT DISTINCT lang FROM leaves)),
+ranked AS (
+  SELECT row, doc_id, leaf, given, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank
+  FROM leaves l JOIN trees t ON l.lang IS NOT DISTINCT FROM t.lang),
+low(tree, level, h) AS (
+  SELECT tree, 0, list(leaf ORDER BY rank) FROM ranked GROUP BY tree
+  UNION ALL SELECT tree, level + 1, {_PARENTS} FROM low WHERE len(h) > 1),
+subroots AS (SELECT tree, level AS height, h[1] AS subroot FROM low WHERE len(h) = 1),
+high(level, h) AS (
+  SELECT 0, list(subroot ORDER BY tree) FROM subroots
+  UNION ALL SELECT level + 1, {_PARENTS} FROM high WHERE len(h) > 1),
+steps AS (
+  SELECT row, level, h[xor(rank >> level, 1::BIGINT) + 1] AS sibling, (rank >> level) & 1 = 1 AS before
+  FROM ranked r JOIN low USING (tree) WHERE len(h) > 1
+  UNION ALL
+  SELECT row, height + level, h[xor((tree - 1) >> level, 1::BIGINT) + 1], ((tree - 1) >> level) & 1 = 1
+  FROM ranked r JOIN subroots USING (tree), high WHERE len(h) > 1),
+folds(row, level, node) AS (
+  SELECT row, 0, given FROM ranked
+  UNION ALL
+  SELECT row, level + 1, sha256(CASE WHEN before THEN sibling || node ELSE node || coalesce(sibling, '') END)
+  FROM folds JOIN steps USING (row, level)),
+ends AS (SELECT row, arg_max(node, level) AS folded_root FROM folds GROUP BY row),
+paths AS (SELECT row, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256 FROM steps GROUP BY row),
+root AS (SELECT h[1] AS root FROM high WHERE len(h) = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM ranked JOIN subroots USING (tree) JOIN ends USING (row) LEFT JOIN paths USING (row), root
+"""
