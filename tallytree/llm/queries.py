@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallytree.llm import (
     bag_minhash, byte_cnn, decision_lists, embedding_forest, html_blocks, interval_labels, level_doubling,
-    pairwise_quality, pareto_mix, slack_packing, sql, suffix_dedup, warc_index,
+    pairwise_quality, parallel_viterbi, pareto_mix, slack_packing, sql, suffix_dedup, warc_index,
 )
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_pareto_mix": sql.PARETO_MIX,
     "op10_warc_index": sql.WARC_INDEX,
     "op11_level_doubling": sql.LEVEL_DOUBLING,
+    "op12_parallel_viterbi": sql.PARALLEL_VITERBI,
     "op13_interval_labels": sql.INTERVAL_LABELS,
 }
 
@@ -104,6 +105,13 @@ def op11_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return level_doubling.remove_repeats(docs).withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")
 
 
+@query
+def op12_parallel_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every damaged conversation, and its cheapest repair."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return parallel_viterbi.repaired(talks, parallel_viterbi.damaged(talks))
+
+
 @query
 def op13_interval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the manifest, with a check of its proof."""

@@ -175,3 +175,66 @@ root AS (SELECT h[1] AS root FROM high WHERE len(h) = 1)
 SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
 FROM ranked JOIN subroots USING (tree) JOIN ends USING (row) LEFT JOIN paths USING (row), root
 """
+
+
+def _line(line: str, rest: str) -> str:
+    return f"{line} || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+
+
+def _edit(cost: str, letter: str, line: str | None, to: int, v: str) -> str:
+    rest = f"{v}[{to + 1}]"
+    said = _line(line, f"{rest}.r") if line else f"{rest}.r"
+    return f"{{'c': {cost} + {rest}.c, 's': '{letter}' || {rest}.s, 'r': {said}}}"
+
+
+def _used_up(state: int) -> str:
+    """The best (cost, letters, lines) from a state before a row, if nothing is inserted."""
+    to, role = (3, "assistant") if state == 2 else (2, "user")
+    kept = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    edits = [f"[{_edit('3', 'D', None, state, 'v')}]"]
+    for initial, after in kept.items():
+        edits.append(f"CASE WHEN NOT forced AND initial = '{initial}' THEN [{_edit('is_open', 'K', chr(39).join(['role || ', ':', ' || text']), after, 'v')}] ELSE [] END")
+    edits.append(f"CASE WHEN NOT forced THEN [{_edit('2 + is_open', 'R', f"'{role}:' || text", to, 'v')}] ELSE [] END")
+    return f"list_sort(flatten([{', '.join(edits)}]))[1]"
+
+
+#: Backwards over the rows, a table of the cheapest rest per state: cost, letters, and the repaired lines.
+PARALLEL_VITERBI = f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+struck AS (SELECT *, {crc32("k")} % 20 AS kind FROM keyed),
+given AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM struck WHERE kind <> 0),
+talks AS (SELECT conv_id, row_number() OVER () AS talk FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+  SELECT talk, turn, role, text, substr(role, 1, 1) AS initial, row_number() OVER (
+    PARTITION BY talk ORDER BY turn NULLS FIRST, substr(role, 1, 1), md5(strlen(role)::VARCHAR || ':' || role || text)) AS i
+  FROM given g JOIN talks t ON g.conv_id IS NOT DISTINCT FROM t.conv_id),
+seen AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY talk, role, text ORDER BY i) > 1 AS again,
+         NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unfinished,
+         lag(initial) OVER (PARTITION BY talk ORDER BY i) || initial AS pair FROM placed),
+rows AS (SELECT *, blank OR again AS forced, unfinished::INT AS is_open FROM seen),
+faults AS (
+  SELECT talk, sum(blank::INT) AS blank, sum((again AND NOT blank)::INT) AS duplicate, sum((unfinished AND NOT forced)::INT) AS truncated,
+         sum((pair NOT IN ('su', 'ua', 'au'))::INT) AS illegal, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n
+  FROM rows GROUP BY talk),
+rest(talk, i, v) AS (
+  SELECT talk, n, [{{'c': 0, 's': '', 'r': ''}}, {{'c': 4, 's': 'II', 'r': 'user:' || chr(10) || 'assistant:'}},
+                   {{'c': 2, 's': 'I', 'r': 'assistant:'}}, {{'c': 0, 's': '', 'r': ''}}] FROM faults
+  UNION ALL
+  SELECT talk, i, [list_sort([b[1], {_edit("2", "I", "'user:'", 1, "w")}])[1], list_sort([b[2], {_edit("2", "I", "'user:'", 1, "w")}])[1], w[2], w[3]]
+  FROM (
+    SELECT talk, i, b, [b[1], list_sort([b[3], {_edit("2", "I", "'assistant:'", 3, "b")}])[1], list_sort([b[4], {_edit("2", "I", "'user:'", 2, "b")}])[1]] AS w
+    FROM (
+      SELECT talk, rest.i - 1 AS i, [{", ".join(_used_up(q) for q in range(4))}] AS b
+      FROM rest JOIN rows USING (talk, i))))
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v[1].c, 0)::BIGINT AS cost,
+       coalesce(v[1].s, '') AS audit, sha256(coalesce(v[1].r, '')) AS repaired_sha256
+FROM talks LEFT JOIN faults USING (talk) LEFT JOIN (SELECT talk, v FROM rest WHERE i = 0) USING (talk)
+"""
