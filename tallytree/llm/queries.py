@@ -74,9 +74,9 @@ def op6_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What repeated passages take from every document."""
+    """What repeated passages take from every document, and the text that it keeps."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup.remove_repeats(docs).drop("kept_text")
+    return suffix_dedup.remove_repeats(docs).withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")
 
 
 @query

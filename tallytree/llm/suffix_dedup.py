@@ -311,7 +311,8 @@ def remove_repeats(
     own = [c for c in docs.columns if c not in added and c != text_column]
     source = docs.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("text"))
     spans = pin(repeated_spans(source, length, anchor, crowd), "suffix-spans")
-    keyed = docs.withColumn("_text_key", F.unhex(F.md5(text_column)))
+    keyed = docs.select(
+        *(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)), F.col(text_column).alias("text"), F.unhex(F.md5(text_column)).alias("_text_key"))
     joined = keyed.join(spans.withColumnRenamed("text_key", "_key"), F.col("_text_key") == F.col("_key"), "left")
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,5 +332,5 @@ def remove_repeats(
                     [*(part.column(i) for i in range(len(own))), *(pa.array(c, k) for c, k in zip(columns, kinds))], [*own, *added])
 
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own)
-    return joined.select(*own, text_column, "spans").mapInArrow(
+    return joined.select(*(f"own_{i}" for i in range(len(own))), "text", "spans").mapInArrow(
         work, schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
