@@ -11,6 +11,10 @@ from tallytree.session import pin
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: A repeat of this many bytes goes. Passages of 50 words and more that repeat in the given corpora have 306 bytes or more in
+#: 95 of 100 cases, so the 400 bytes that suffix dedup takes by itself would miss half of them.
+PASSAGE_BYTES, PASSAGE_ANCHOR = 256, 64
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base test or a learned rule go."""
@@ -23,10 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat go; a document may end up empty."""
+    """Passages of about 50 words and more that repeat go, in all their places; a document may end up empty."""
     own = docs.columns
-    out = suffix_dedup.remove_repeats(docs)
-    return out.withColumns({"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}).select(*own)
+    names = {c: f"own_{i}" for i, c in enumerate(own)}
+    out = suffix_dedup.remove_repeats(
+        docs.withColumnsRenamed(names), names["text"], names["doc_id"], length=PASSAGE_BYTES, anchor=PASSAGE_ANCHOR)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*(new.get(c, F.col(names[c])).alias(c) for c in own))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
