@@ -6,12 +6,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallytree.session import pin, scratch_path
-from tallytree.sources import instance, listings, sinks, taxonomy
+from tallytree.sources import instance, listings, pieces, sinks, taxonomy
 from tallytree.star import Star
 from tallytree.streaming import refresh
 
 from conftest import rows
 
+
+def in_order(df, seq, *columns):
+    """Rows by their order key, as numbers from 1; no two share a key."""
+    picked = df.select(seq, *columns).orderBy(seq).collect()
+    assert len({r[0] for r in picked}) == len(picked)
+    return [(i, *r[1:]) for i, r in enumerate(picked, 1)]
+
+
 INSTANCE = """<?xml version="1.0"?>
 <xbrli:xbrl xmlns:xbrli="x" xmlns:us-gaap="g" xmlns:xbrldi="d">
   <link:schemaRef xlink:href="w.xsd"/>
@@ -70,7 +78,7 @@ def test_load_filings(spark, tmp_path):
     star = instance.load_filings(spark, filings(tmp_path))
     star.write(str(tmp_path / "star"))
     star = Star.read(spark, str(tmp_path / "star"))
-    assert rows(star.fact.filter("filing_id = 7"), "fact_seq", "element_id", "context_id", "fact", "decimals") == [
+    assert in_order(star.fact.filter("filing_id = 7"), "fact_seq", "element_id", "context_id", "fact", "decimals") == [
         (1, "us-gaap_Assets", "c1", "1000", "-3"),
         (2, "us-gaap_Nothing", "c1", None, None),
         (3, "w_Note", "c2", "a <b> &lt; c\nsecond line", None),
@@ -81,13 +89,13 @@ def test_load_filings(spark, tmp_path):
         ("c1", None, end, None, None, None),
         ("c2", dt.date(2019, 1, 1), end, "srt:ProductAxis", "w:OilMember", "dei:LegalAxis"),
     ]
-    assert rows(star.presentation.filter("filing_id = 7").drop("filing_id")) == [
+    assert in_order(star.presentation.filter("filing_id = 7"), "arc_seq", "role_id", "from_element_id", "to_element_id", "arc_order", "preferred_label") == [
         (1, "http://r/bs", "us-gaap_Abs", "us-gaap_Assets", "1.0", "http://p"),
         (2, "http://r/is", "w_Abs", "w_X", "2", None),
     ]
     assert rows(star.calculation, "filing_id", "from_element_id", "to_element_id", "arcrole") == [
         (12, "us-gaap_Assets", "us-gaap_Cash", "summation-item"), (7, "us-gaap_Assets", "us-gaap_Cash", "summation-item")]
-    assert rows(star.label.filter("filing_id = 7"), "label_seq", "element_id", "label_string") == [
+    assert in_order(star.label.filter("filing_id = 7"), "label_seq", "element_id", "label_string") == [
         (1, "us-gaap_Assets", "Assets"), (2, "us-gaap_Assets", "Total assets")]
     assert rows(star.role, "filing_id", "type", "description") == [
         (12, "Statement", "BALANCE - SHEETS"), (7, "Statement", "BALANCE - SHEETS")]
@@ -124,24 +132,58 @@ def test_ordinary_documents(spark, tmp_path):
     """Names as filers use them, dashed folders, default namespace, CDATA, character numbers, comments, nil and empty."""
     star = instance.load_filings(spark, odd_filings(tmp_path))
     number = 119312519000001
-    assert rows(star.fact, "filing_id", "fact_seq", "element_id", "fact") == [
-        (number, 1, "Assets", "12"),
-        (number, 2, "us-gaap_Note", '<p class="c">1 &amp; 2</p><b>x</b> end'),
-        (number, 3, "us-gaap_Text", "caf\u00e9\u00a0<b>"),
-        (number, 4, "us-gaap_Empty", ""),
-        (number, 5, "us-gaap_Gone", None),
+    assert in_order(star.fact, "fact_seq", "filing_id", "element_id", "fact") == [
+        (1, number, "Assets", "12"),
+        (2, number, "us-gaap_Note", '<p class="c">1 &amp; 2</p><b>x</b> end'),
+        (3, number, "us-gaap_Text", "caf\u00e9\u00a0<b>"),
+        (4, number, "us-gaap_Empty", ""),
+        (5, number, "us-gaap_Gone", None),
     ]
-    assert rows(instance.read_facts(spark, str(tmp_path), default_prefix="us-gaap").limit(1), "element_id") == [("us-gaap_Assets",)]
+    assert rows(instance.read_facts(spark, str(tmp_path), default_prefix="us-gaap").orderBy("fact_seq").limit(1), "element_id") == [("us-gaap_Assets",)]
     assert rows(star.context, "context_id", "dimension1", "value1", "dimension2") == [
         ("c1", "w:WellAxis", "Nr. 5 & 6", None), ("c2", "srt:ProductAxis", "w:OilMember", "w:PlanAxis")]
 
 
 def test_shared_locators_give_all_arcs(spark, tmp_path):
     arcs = instance.read_presentation(spark, odd_filings(tmp_path))
-    assert rows(arcs, "arc_seq", "from_element_id", "to_element_id") == [
+    assert in_order(arcs, "arc_seq", "from_element_id", "to_element_id") == [
         (1, "w_Top", "us-gaap_A"), (2, "w_Top", "us-gaap_B"), (3, "us-gaap_A", "w_Top"), (4, "us-gaap_B", "w_Top")]
 
 
+SECTIONS = """<?xml version="1.0"?><!-- made by hand -->
+<xbrl><us-gaap:A contextRef="c">1<!-- <us-gaap:Old contextRef="c">0</us-gaap:Old> -->2</us-gaap:A>
+<us-gaap:B contextRef="c"><![CDATA[<!-- kept --><i contextRef="no">]]><![CDATA[x]]> y</us-gaap:B><?pi <a> ?>
+<!-- <![CDATA[ --><us-gaap:C contextRef="c">3</us-gaap:C><!-- ]]> --><us-gaap:D contextRef="c">a &#38; b</us-gaap:D></xbrl>"""
+
+
+def test_sections_are_read_in_order(spark, tmp_path):
+    write(str(tmp_path / "5"), s_xml=SECTIONS)
+    write(str(tmp_path / "6"), i_xml=INSTANCE)
+    facts = instance.read_facts(spark, str(tmp_path))
+    assert in_order(facts.filter("filing_id = 5"), "fact_seq", "element_id", "fact") == [
+        (1, "us-gaap_A", "12"), (2, "us-gaap_B", '<!-- kept --><i contextRef="no">x y'), (3, "us-gaap_C", "3"), (4, "us-gaap_D", "a & b")]
+    assert facts.filter("filing_id = 6").count() == 4
+
+
+@pytest.mark.parametrize("sections", [False, True])
+def test_a_large_document_is_read_by_many_tasks(spark, tmp_path, sections):
+    """The same rows in the same order, however small the byte ranges."""
+    lines = [f'<w:F{i % 7} contextRef="c{i}" decimals="{i % 3}">é {i} &lt;td&gt;{"x" * (i % 90)}</w:F{i % 7}>' for i in range(3000)]
+    if sections:
+        lines[::500] = [f"<![CDATA[<p {i}>]]>\n<!-- <w:Off contextRef='c'>1</w:Off> -->{line}" for i, line in enumerate(lines[::500])]
+    write(str(tmp_path / "9"), big_xml="<?xml version='1.0'?>\n<xbrl>" + "\n".join(lines) + "</xbrl>", small_xml=INSTANCE)
+    whole = in_order(instance.read_facts(spark, str(tmp_path)), "fact_seq", "context_id", "element_id", "fact", "decimals")
+    assert len(whole) == 3004 and [r[1] for r in whole[:3000]] == [f"c{i}" for i in range(3000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        assert pieces.document_pieces(spark, str(tmp_path), "big.xml").rdd.getNumPartitions() > 10
+        facts = instance.read_facts(spark, str(tmp_path))
+        assert in_order(facts, "fact_seq", "context_id", "element_id", "fact", "decimals") == whole
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_nothing_vanishes_silently(spark, tmp_path):
     write(str(tmp_path / "no-number"), w_ins_xml=INSTANCE)
     with pytest.raises(Exception, match="no filing number"):
