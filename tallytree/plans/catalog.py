@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallytree.functions import numbers as num
 from tallytree.functions import periods as per
@@ -24,7 +25,8 @@ from tallytree.plans import reports as rep
 from tallytree.plans import sample_documents as docs
 from tallytree.plans import sample_star as sample
 from tallytree.session import scratch_path
-from tallytree.sources import instance, listings, sinks, taxonomy
+from tallytree.sources import instance, listings, rejects, sinks, taxonomy
+from tallytree.star import Star
 from tallytree.streaming import refresh
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -796,13 +798,21 @@ def xml_facts(spark, sf_dir):
     return facts.groupBy("filing_id", "element_id", "context_id", "fact", "decimals").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _in_place(df: DataFrame, seq: str) -> DataFrame:
+    """The order key of a loaded table as a place in its filing."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy("filing_id").orderBy(seq)).cast("bigint")).drop(seq)
+
+
+def _place(order: str) -> str:
+    return f"row_number() OVER (PARTITION BY c_nationkey ORDER BY {order}) AS place"
+
+
 @query("xml_fact_order", o.sql(
-    f"SELECT {_FOLDER}, CAST(1 AS BIGINT) AS first_seq, count(*) AS last_seq, count(*) AS n FROM x_fact {_NATION} GROUP BY c_nationkey"))
+    f"""SELECT {_FOLDER}, {_place("filing_id, fact_seq, context_id, element_id, fact NULLS FIRST")}, replace(element_id, '#', '.') AS element_id, context_id, fact
+        FROM x_fact {_NATION}"""))
 def xml_fact_order(spark, sf_dir):
     facts = instance.read_facts(spark, docs.fact_documents(spark, sf_dir), docs.TEXT_FILES)
-    return facts.groupBy("filing_id").agg(
-        F.min("fact_seq").alias("first_seq"), F.max("fact_seq").alias("last_seq"),
-        F.count_distinct("fact_seq").alias("n"))
+    return _in_place(facts, "fact_seq").select("filing_id", "place", "element_id", "context_id", "fact")
 
 
 @query("xml_contexts", o.sql(
@@ -817,11 +827,11 @@ _NO_HASH = "replace(from_element_id, '#', '.') AS from_element_id, replace(to_el
 
 
 @query("xml_presentation", o.sql(
-    f"SELECT {_FOLDER}, role_id, {_NO_HASH}, arc_order, preferred_label, count(*) AS n FROM x_pres {_NATION} GROUP BY ALL"))
+    f"""SELECT {_FOLDER}, role_id, {_NO_HASH}, arc_order, preferred_label,
+        {_place("filing_id, role_id, arc_seq, from_element_id, to_element_id")} FROM x_pres {_NATION}"""))
 def xml_presentation(spark, sf_dir):
-    arcs = instance.read_presentation(spark, docs.presentation_documents(spark, sf_dir), docs.XML_FILES)
-    keys = ["filing_id", "role_id", "from_element_id", "to_element_id", "arc_order", "preferred_label"]
-    return arcs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """Links of several arcs whose locators are shared and repeated, in document order."""
+    return _in_place(instance.read_presentation(spark, docs.presentation_documents(spark, sf_dir), docs.XML_FILES), "arc_seq")
 
 
 @query("xml_calculation", o.sql(
@@ -833,20 +843,30 @@ def xml_calculation(spark, sf_dir):
 
 
 @query("xml_labels", o.sql(
-    f"""SELECT {_FOLDER}, replace(element_id, '#', '.') AS element_id, label_role, lang, label_string, count(*) AS n
-        FROM x_label {_NATION} GROUP BY ALL"""))
+    f"""SELECT {_FOLDER}, replace(element_id, '#', '.') AS element_id, label_role, lang, label_string,
+        {_place("filing_id, element_id, label_seq")} FROM x_label {_NATION}"""))
 def xml_labels(spark, sf_dir):
-    found = instance.read_labels(spark, docs.label_documents(spark, sf_dir), docs.XML_FILES)
-    return found.groupBy("filing_id", "element_id", "label_role", "lang", "label_string").agg(
-        F.count(F.lit(1)).alias("n"))
+    return _in_place(instance.read_labels(spark, docs.label_documents(spark, sf_dir), docs.XML_FILES), "label_seq")
 
 
 @query("xml_roles", o.sql(
-    f"""SELECT {_FOLDER}, role_id, type, coalesce(description, 'Untitled') AS description, count(*) AS n
-        FROM x_role {_NATION} GROUP BY ALL"""))
+    f"""SELECT {_FOLDER}, role_id, type, coalesce(description, 'Untitled') AS description, {_place("filing_id, role_seq")}
+        FROM x_role {_NATION}"""))
 def xml_roles(spark, sf_dir):
-    found = instance.read_roles(spark, docs.role_documents(spark, sf_dir), docs.XML_FILES)
-    return found.groupBy("filing_id", "role_id", "type", "description").agg(F.count(F.lit(1)).alias("n"))
+    return _in_place(instance.read_roles(spark, docs.role_documents(spark, sf_dir), docs.XML_FILES), "role_seq")
+
+
+def _reject_sql(kind: str, table: str, where: str) -> str:
+    return f"SELECT {_FOLDER}, '{kind}' AS kind, count(*) AS n FROM {table} {_NATION} WHERE {where} GROUP BY c_nationkey"
+
+
+@query("xml_rejects", o.sql(" UNION ALL ".join([
+    _reject_sql("presentation_arc_from", "x_pres", docs.FAULTS["from"]), _reject_sql("presentation_arc_to", "x_pres", docs.FAULTS["to"]),
+    _reject_sql("label_arc_from", "x_label", docs.FAULTS["nobody"]), _reject_sql("label_without_arc", "x_label", docs.FAULTS["alone"]),
+    _reject_sql("fact_without_context", "x_fact", docs.FAULTS["context"])])))
+def xml_rejects(spark, sf_dir):
+    """What a load leaves out, by filing and kind."""
+    return rejects.reject_counts(rejects.rejects(spark, docs.faulty_documents(spark, sf_dir), docs.LANDED_PARTS))
 
 
 @query("taxonomy_roles", o.sql(
@@ -954,3 +974,41 @@ def stream_refresh(spark, sf_dir):
             F.count(F.lit(1)).alias("n_facts"), F.min("fact_seq").alias("first_seq")),
     ).awaitTermination()
     return refresh.current_rows(spark, target)
+
+
+_TABLES = {"role": "x_role", "presentation": "x_pres", "calculation": "x_calc", "element": "x_elem", "label": "x_label", "fact": "x_fact", "context": "x_ctx"}
+
+
+@query("stream_take_in", o.sql(" UNION ALL ".join(
+    f"SELECT {_FOLDER}, '{name}' AS table_name, count(*) AS n FROM {table} {_NATION} GROUP BY c_nationkey" for name, table in _TABLES.items())))
+def stream_take_in(spark, sf_dir):
+    """Filings land in two steps, one of them with half of its facts first; each step replaces its own buckets only."""
+    landing, star, checkpoint = (scratch_path(spark, name) for name in ("landing", "taken-in", "take-in-checkpoint"))
+
+    def step(which: str, facts_of_three: str) -> None:
+        docs.land_documents(spark, sf_dir, landing, which, f"({which}) AND folder <> 3 OR folder = 3 AND {facts_of_three}")
+        refresh.take_in_filings(
+            spark, landing, star, checkpoint, lambda session, folders: instance.load_filings(session, folders, docs.LANDED_PARTS, check=False),
+            "{*.xml,*.txt}").awaitTermination()
+
+    step("folder < 12", "fact_seq % 2 = 0")
+    step("folder >= 12", "fact_seq % 2 = 1")
+    taken = Star.read(spark, star)
+    counts = [getattr(taken, name).groupBy("filing_id").agg(F.count(F.lit(1)).alias("n")).withColumn("table_name", F.lit(name)) for name in _TABLES]
+    return reduce(DataFrame.unionByName, counts).select("filing_id", "table_name", "n")
+
+
+@query("stream_index", """
+SELECT o_custkey AS company_id, CAST(o_orderdate AS DATE) AS filing_date, concat('/f/', CAST(o_orderkey AS VARCHAR)) AS href,
+       CASE WHEN o_orderkey % 5 = 0 THEN '10-K/A' WHEN o_orderkey % 4 = 0 THEN '10-K' ELSE '10-Q' END AS type FROM orders""")
+def stream_index(spark, sf_dir):
+    """The list of filings arrives in two steps; the second brings new rows and replaces some."""
+    landing, index, checkpoint = (scratch_path(spark, name) for name in ("lists", "index", "index-checkpoint"))
+    listed = sample.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("company_id"), F.col("o_orderdate").cast("date").alias("filing_date"),
+        F.when(F.col("o_orderkey") % 4 == 0, "10-K").otherwise("10-Q").alias("type"), F.concat(F.lit("/f/"), F.col("o_orderkey").cast("string")).alias("href"))
+    amended = listed.filter("key % 5 = 0").withColumn("type", F.lit("10-K/A"))
+    for step in (listed.filter("key % 3 <> 0"), listed.filter("key % 3 = 0 AND key % 5 <> 0").unionByName(amended)):
+        step.drop("key").write.mode("append").json(landing)
+        refresh.take_in_index(spark, landing, index, checkpoint).awaitTermination()
+    return refresh.read_index(spark, index).select("company_id", "filing_date", "href", "type")

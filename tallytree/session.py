@@ -67,10 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{folders}/{name}-{uuid.uuid4().hex}"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, target = _file_system(spark, path)
+    return files.exists(target)
 
 
 @contextlib.contextmanager
@@ -83,7 +93,7 @@ def scratch_scope(spark: SparkSession):
         yield
     finally:
         _OPEN_SCOPES.reset(outer)
-        _drop(spark, path)
+        drop_path(spark, path)
 
 
 def pin(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:

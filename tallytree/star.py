@@ -6,6 +6,9 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tallytree.session import path_exists
+from tallytree.sources.buckets import replace_rows
+
 # Document order does not survive in Spark, so it is a column: role_seq, arc_seq, label_seq, fact_seq.
 SCHEMAS = {
     "role": "filing_id BIGINT, role_seq BIGINT, role_id STRING, type STRING, description STRING",
@@ -73,6 +76,20 @@ class Star:
              .write.mode(mode).partitionBy(BUCKET).parquet(f"{path}/{field.name}"))
         spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
 
+    def replace(self, path: str, filings: DataFrame, batch: str) -> list[int]:
+        """Put this star's rows of ``filings`` (filing_id) in place of what ``path`` holds of them; returns the buckets.
+
+        Filings without rows here are taken out. Buckets of other filings keep their files; see ``replace_rows`` for what happens
+        when ``batch`` is repeated. A path without a star gets one.
+        """
+        spark = self.fact.sparkSession
+        if not path_exists(spark, f"{path}/layout"):
+            spark.range(1).select(F.lit(BUCKETS).alias("buckets")).write.mode("overwrite").parquet(f"{path}/layout")
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+        only = self.only(filings)
+        fresh = {f.name: getattr(only, f.name).select(*column_names(f.name)) for f in fields(self)}
+        return replace_rows(spark, path, fresh, filings, ["filing_id"], BUCKET, _bucket(buckets), batch)
+
     def only(self, filings: DataFrame) -> "Star":
         """The same star for the given ``filing_id`` rows only."""
         keep = filings.select("filing_id").distinct()
