@@ -1,14 +1,12 @@
 """Walking the presentation tree of every filing at once.
 
-Each level is one equi-join of the live paths with the arcs to inner nodes, pinned before the next
-level, so lineage stays flat and the number of joins is the depth of the deepest tree. Leaves, which
-most arcs lead to, join once.
+Paths grow by doubling: a round joins walks of some length with themselves, which gives walks of twice that length from
+every node, and the paths from the roots with the walks. Only arcs between inner nodes take part; leaves, which most
+arcs lead to, join once at the end. The number of rounds is the logarithm of the depth of the deepest tree.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallytree.functions.numbers import to_double
@@ -18,15 +16,20 @@ from tallytree.session import pin
 UNIT = ["filing_id", "unit"]
 
 
-def sibling_key(order_mode: str) -> Column:
-    """Sort key of an arc among its siblings: order (missing last), then document order."""
+def sibling_key(order_mode: str | Column) -> Column:
+    """Sort key of an arc among its siblings: order (missing last), then document order.
+
+    The order counts as a number or as text; a column of ``numeric`` and ``text`` decides for each arc.
+    """
     order = to_double("arc_order")
-    if order_mode == "text":
-        order = order.cast("string")
-    elif order_mode != "numeric":
-        raise ValueError(f"order_mode must be 'numeric' or 'text', not {order_mode!r}")
+    if isinstance(order_mode, str):
+        if order_mode not in ("numeric", "text"):
+            raise ValueError(f"order_mode must be 'numeric' or 'text', not {order_mode!r}")
+        order_mode = F.lit(order_mode)
+    as_text = order_mode == "text"
     return F.struct(
-        order.isNull().alias("missing"), order.alias("ord"), F.col("arc_seq").alias("seq")
+        order.isNull().alias("missing"), F.when(~as_text, order).alias("number"),
+        F.when(as_text, order.cast("string")).alias("text"), F.col("arc_seq").alias("seq"),
     )
 
 
@@ -42,7 +45,7 @@ def tree_roots(arcs: DataFrame, keys: list[str] = UNIT) -> DataFrame:
 def tree_paths(
     arcs: DataFrame,
     keys: list[str] = UNIT,
-    order_mode: str = "numeric",
+    order_mode: str | Column = "numeric",
 ) -> DataFrame:
     """One row per root-to-leaf path: ``path``, ``path_key`` (preorder sort key), ``element_id``.
 
@@ -62,63 +65,65 @@ def tree_paths(
     sources = edges.select(
         *keys, F.col("tip").alias("from_element_id"), "to_element_id", F.col("sibling.seq").alias("arc_seq")
     )
-    frontier = tree_roots(sources, keys).select(
+    paths = tree_roots(sources, keys).select(
         *keys,
         F.array("element_id").alias("path"),
-        F.array(_root_key(order_mode)).alias("path_key"),
+        F.array(_root_key()).alias("path_key"),
         F.col("element_id").alias("tip"),
     )
-    # Most arcs end in a leaf: the walk follows the others, and leaves join once at its end.
-    inner = edges.filter("expands").drop("expands")
+    inner = edges.filter("expands").select(
+        *keys, "tip", F.array("to_element_id").alias("nodes"), F.array("sibling").alias("steps"))
     leaves = edges.filter("NOT expands").drop("expands")
-    nodes, closed = [frontier], []
+    # Paths from a root are shorter than a power of two, walks from any node exactly that long.
+    walks, cyclic = inner, False
     while True:
-        step = pin(
-            frontier.join(inner, [*keys, "tip"]).select(
-                *keys,
-                F.concat("path", F.array("to_element_id")).alias("path"),
-                F.concat("path_key", F.array("sibling")).alias("path_key"),
-                F.array_contains("path", F.col("to_element_id")).alias("leads_back"),
-            ),
-            "tree-level",
-        )
-        # One row: whether any path goes on and whether any arc leads back.
-        flags = step.agg(
-            F.max(~F.col("leads_back")).alias("goes_on"), F.max("leads_back").alias("leads_back")).first()
-        if flags["leads_back"]:
-            closed.append(_closed_paths(step, keys))
+        longer = pin(_twice(walks, keys), "tree-walks")
+        # One row: whether any walk goes on and whether any arc leads back.
+        flags = longer.agg(F.max("simple").alias("goes_on"), F.max(~F.col("simple")).alias("leads_back")).first()
+        cyclic = cyclic or bool(flags["leads_back"])
+        paths = paths.unionByName(_extended(paths, walks, keys))
         if not flags["goes_on"]:
             break
-        frontier = step.filter("NOT leads_back").select(
-            *keys, "path", "path_key", F.element_at("path", -1).alias("tip")
-        )
-        nodes.append(frontier)
-    ends = reduce(DataFrame.unionByName, nodes).join(leaves, [*keys, "tip"]).select(
+        paths, walks = pin(paths, "tree-paths"), longer.filter("simple").drop("simple")
+    ends = paths.join(leaves, [*keys, "tip"]).select(
         *keys, F.concat("path", F.array("to_element_id")).alias("path"),
         F.concat("path_key", F.array("sibling")).alias("path_key"),
     )
-    if closed:
+    if cyclic:
         # A path whose other arcs lead back goes on to its leaves, if it has any.
-        stuck = reduce(DataFrame.unionByName, closed).withColumn("tip", F.element_at("path", -1))
-        ends = ends.unionByName(stuck.join(leaves, [*keys, "tip"], "left_anti").drop("tip"))
+        ends = ends.unionByName(_stuck(paths, inner, keys).join(leaves, [*keys, "tip"], "left_anti").drop("tip"))
     return ends.select(*keys, "path", "path_key", tree_leaf("path").alias("element_id"))
 
 
-def _root_key(order_mode: str) -> Column:
-    kind = "string" if order_mode == "text" else "double"
+def _root_key() -> Column:
     return F.struct(
-        F.lit(True).alias("missing"), F.lit(None).cast(kind).alias("ord"), F.col("arc_seq").alias("seq")
+        F.lit(True).alias("missing"), F.lit(None).cast("double").alias("number"),
+        F.lit(None).cast("string").alias("text"), F.col("arc_seq").alias("seq"),
     )
 
 
-def _closed_paths(step: DataFrame, keys: list[str]) -> DataFrame:
-    """Paths of a step whose arcs to inner nodes all lead back."""
-    without_last = [
-        F.slice(c, 1, F.size(c) - 1).alias(c) for c in ("path", "path_key")
-    ]
-    closed = step.filter("leads_back").select(*keys, *without_last).distinct()
-    live = step.filter("NOT leads_back").select(*keys, without_last[1])
-    return closed.join(live, [*keys, "path_key"], "left_anti").select(*keys, "path", "path_key")
+def _twice(walks: DataFrame, keys: list[str]) -> DataFrame:
+    """Walks that go on with another one, ``simple`` if no element occurs twice."""
+    after = walks.select(
+        *keys, F.col("tip").alias("end"), F.col("nodes").alias("more_nodes"), F.col("steps").alias("more_steps"))
+    nodes = F.concat("nodes", "more_nodes")
+    return walks.withColumn("end", F.element_at("nodes", -1)).join(after, [*keys, "end"]).select(
+        *keys, "tip", nodes.alias("nodes"), F.concat("steps", "more_steps").alias("steps"),
+        (F.size(F.array_distinct(F.concat(F.array("tip"), nodes))) == F.size(nodes) + 1).alias("simple"))
+
+
+def _extended(paths: DataFrame, walks: DataFrame, keys: list[str]) -> DataFrame:
+    """Paths that go on with a walk from their tip and meet no element again."""
+    return paths.join(walks, [*keys, "tip"]).filter(~F.arrays_overlap("path", "nodes")).select(
+        *keys, F.concat("path", "nodes").alias("path"), F.concat("path_key", "steps").alias("path_key"),
+        F.element_at("nodes", -1).alias("tip"))
+
+
+def _stuck(paths: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
+    """Paths whose arcs to inner nodes all lead back."""
+    back = F.array_contains(F.col("path"), F.col("nodes")[0])
+    return paths.join(inner, [*keys, "tip"]).groupBy(*keys, "path", "path_key", "tip").agg(
+        F.min(back).alias("all_back")).filter("all_back").drop("all_back")
 
 
 def tree_leaf(path: str) -> Column:
@@ -139,7 +144,7 @@ def level_columns(paths: DataFrame, depth: int) -> DataFrame:
 
 
 def tree_lines(
-    arcs: DataFrame, keys: list[str] = UNIT, order_mode: str = "numeric"
+    arcs: DataFrame, keys: list[str] = UNIT, order_mode: str | Column = "numeric"
 ) -> DataFrame:
     """Leaves in depth-first order: keys, ``section``, ``el_order``, ``element_id``, ``level2``, ``path``.
 

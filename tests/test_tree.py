@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tallytree import session
 from tallytree.operators import ordering, tree
 
 from conftest import rows
@@ -46,6 +47,30 @@ def test_depth_has_no_limit(spark):
     assert [x for x, _ in lines(tree.tree_lines(arcs(spark, chain)))] == ["n66", "side"]
 
 
+def test_rounds_are_the_logarithm_of_the_depth(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, name: names.append(name)])
+    for depth, rounds in ((3, 2), (9, 4), (33, 6), (66, 7)):
+        names.clear()
+        chain = [(f"n{i}", f"n{i + 1}", "1") for i in range(depth)]
+        assert tree.tree_paths(arcs(spark, chain)).count() == 1
+        assert names.count("tree-walks") <= rounds
+
+
+def test_longer_cycles_and_a_loop(spark):
+    ring = [("R", "a", "1"), ("a", "b", "1"), ("b", "c", "1"), ("c", "d", "1"), ("d", "e", "1"), ("e", "a", "1")]
+    assert [x for x, _ in lines(tree.tree_lines(arcs(spark, ring)))] == ["e"]
+    assert [x for x, _ in lines(tree.tree_lines(arcs(spark, [*ring, ("c", "x", "0"), ("R", "y", "2")])))] == ["x", "e", "y"]
+    assert [x for x, _ in lines(tree.tree_lines(arcs(spark, [("R", "a", "1"), ("a", "a", "1")])))] == ["a"]
+    assert [x for x, _ in lines(tree.tree_lines(arcs(spark, [("R", "a", "1"), ("a", "a", "1"), ("a", "z", "2")])))] == ["z"]
+
+
+def test_each_arc_may_have_its_own_order(spark):
+    edges = [("R", "b", "10"), ("R", "a", "2"), ("R", "c", None)]
+    both = arcs(spark, edges).withColumn("mode", F.lit("text")).unionByName(arcs(spark, edges, 2).withColumn("mode", F.lit("numeric")))
+    assert [x for x, _ in lines(tree.tree_lines(both, order_mode=F.col("mode")))] == ["b", "a", "c", "a", "b", "c"]
+
+
 def test_same_element_in_other_filing_is_another_tree(spark):
     both = arcs(spark, [("R", "a", "1")]).union(arcs(spark, [("a", "R", "1")], filing=2))
     assert rows(tree.tree_lines(both), "filing_id", "element_id") == [(1, "a"), (2, "R")]
