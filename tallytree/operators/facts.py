@@ -156,14 +156,17 @@ def single_cells(rows: DataFrame, keys: list[str] = UNIT) -> DataFrame:
     return first_per(rows, cell, ["fact_seq", "context_id"]).select(*cell, "value")
 
 
-def most_precise(cells: DataFrame, keys: list[str] = UNIT) -> DataFrame:
-    """Rows with the highest decimals of their element; an element with a missing one is dropped."""
+def most_precise(cells: DataFrame, keys: list[str] = UNIT, only: Column | None = None) -> DataFrame:
+    """Rows with the highest decimals of their element; an element with a missing one is dropped.
+
+    Rows that ``only`` does not choose all stay.
+    """
     element = Window.partitionBy(*keys, "element_id")
     digits = to_double("decimals")
     return (
         cells.withColumn("_max", F.max(digits).over(element))
         .withColumn("_missing", F.count_if(digits.isNull()).over(element))
-        .filter((F.col("_missing") == 0) & (digits == F.col("_max")))
+        .filter(((F.col("_missing") == 0) & (digits == F.col("_max"))) | (F.lit(False) if only is None else ~only))
         .drop("_max", "_missing")
     )
 

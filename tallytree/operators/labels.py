@@ -72,8 +72,8 @@ def any_label(lines: DataFrame, label: DataFrame, keys: list[str] = UNIT) -> Dat
     )
 
 
-def _ranked_labels(
-    lines: DataFrame, presentation: DataFrame, units: DataFrame, label: DataFrame, keys: list[str]
+def ranked_labels(
+    lines: DataFrame, presentation: DataFrame, units: DataFrame, label: DataFrame, keys: list[str] = UNIT
 ) -> DataFrame:
     """Labels of the lines with the choice (1, 2 or 3) that admits them.
 
@@ -107,7 +107,11 @@ def label_tiers(
     keys: list[str] = UNIT,
 ) -> DataFrame:
     """Distinct labels of the best choice that an element has: keys, element_id, label_string, tier."""
-    ranked = _ranked_labels(lines, presentation, units, label, keys)
+    return best_choice(ranked_labels(lines, presentation, units, label, keys), keys)
+
+
+def best_choice(ranked: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    """The same from labels with their choice."""
     texts = ranked.groupBy(*keys, "element_id", "label_string").agg(
         F.min(F.struct("tier", "arc_seq", "label_seq")).alias("best")
     ).select(*keys, "element_id", "label_string", "best.*")
@@ -123,7 +127,11 @@ def first_label(
     keys: list[str] = UNIT,
 ) -> DataFrame:
     """One label per element: best choice, then arc order, then label order."""
-    ranked = _ranked_labels(lines, presentation, units, label, keys)
+    return first_choice(ranked_labels(lines, presentation, units, label, keys), keys)
+
+
+def first_choice(ranked: DataFrame, keys: list[str] = UNIT) -> DataFrame:
+    """The same from labels with their choice."""
     return first_per(ranked, [*keys, "element_id"], ["tier", "arc_seq", "label_seq"]).select(
         *keys, "element_id", "label_string", "tier"
     )
