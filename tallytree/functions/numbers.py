@@ -28,9 +28,26 @@ def sum_or_zero(column: Column | str) -> Column:
     return F.coalesce(F.sum(_col(column)), F.lit(0.0))
 
 
+#: Powers of ten in this range print no wider as digits than with an exponent.
+FIXED_FORM = (-3, 4)
+
+
 def units_label(decimals: Column | str) -> Column:
-    """``-6`` prints ``1000000's``; fractions print as decimals, a missing value as ``NA's``."""
-    unit = F.lit(1.0) / F.pow(F.lit(10.0), to_double(decimals))
+    """``-3`` prints ``1000's``, ``-6`` prints ``1e+06's``: the shorter form, digits if both are as wide.
+
+    Other numbers print as they are, infinite decimals as ``0's``, a missing value as ``NA's``.
+    """
+    digits = to_double(decimals)
+    unit = F.lit(1.0) / F.pow(F.lit(10.0), digits)
+    power = (-digits).try_cast("int")
+    size = F.abs(power).cast("string")
+    low, high = FIXED_FORM
+    # The digits are written out, for a computed 0.001 is not exactly that.
+    fixed = F.when(power >= 0, F.rpad(F.lit("1"), power + 1, F.lit("0"))).otherwise(
+        F.concat(F.lit("0."), F.lpad(F.lit("1"), -power, F.lit("0"))))
+    exponent = F.concat(F.when(power < 0, "1e-").otherwise("1e+"), F.lpad(size, F.greatest(F.lit(2), F.length(size)), F.lit("0")))
+    is_power = digits == -power.cast("double")
     whole = F.when(unit == F.floor(unit), unit.try_cast("bigint").cast("string"))
-    text = F.coalesce(whole, unit.cast("string"), F.lit("NA"))
+    other = F.coalesce(whole, unit.cast("string"), F.lit("NA"))
+    text = F.when(is_power & power.between(low, high), fixed).when(is_power, exponent).otherwise(other)
     return F.concat(text, F.lit("'s"))

@@ -61,13 +61,19 @@ def role_definition(definition: Column | str) -> Column:
     )
 
 
+#: Parts of a page that hold no elements: comments, and the text of elements that is not read as HTML.
+NO_ELEMENTS = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|noscript|template)\b[^>]*>.*?</\1\s*>"
+
+
 def first_link(html: Column | str, container: str = "table") -> Column:
     """``href`` of the first link inside the first ``container`` element, NULL if there is none.
 
-    The text is cut at the tags of the container and the pieces are taken until the first one is
-    closed, with the containers nested in it. A container that is never closed reaches to the end.
+    Comments and the text of scripts, styles and text fields hold no elements. What is left is cut at the tags of the
+    container and the pieces are taken until the first one is closed, with the containers nested in it. A container that is never
+    closed reaches to the end, and so does a comment. Character references in the link are decoded.
     """
-    pieces = F.split(_col(html), rf"(?i)(?=</?{container}[\s>])")
+    elements = F.regexp_replace(_col(html), NO_ELEMENTS, "")
+    pieces = F.split(elements, rf"(?i)(?=</?{container}[\s>])")
     starts = lambda x, tag: F.regexp_like(x, F.lit(rf"(?i)^{tag}{container}[\s>]"))
     step = lambda x: F.when(starts(x, "</"), -1).when(starts(x, "<"), 1).otherwise(0)
     start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.lit("").alias("inside"))
@@ -80,8 +86,25 @@ def first_link(html: Column | str, container: str = "table") -> Column:
             F.when(inside, F.concat(seen["inside"], x)).otherwise(seen["inside"]).alias("inside"))
 
     block = F.aggregate(pieces, start, take, lambda seen: seen["inside"])
-    href = F.regexp_extract(block, r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1)
-    return F.nullif(href, F.lit(""))
+    link = r"""(?is)<a\s(?:[^>"']|"[^"]*"|'[^']*')*?(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    href = F.concat(*(F.regexp_extract(block, link, i) for i in (1, 2, 3)))
+    return F.nullif(decoded(href), F.lit(""))
+
+
+#: Numbers that are no character of a document, which XML would refuse.
+_NO_CHARACTER = (
+    r"&#(?:0*(?:[0-8]|1[124-9]|2[0-9]|3[01]|5[5-7][0-9]{3}|[2-9][0-9]{5}|1[2-9][0-9]{4})"
+    r"|x0*(?:[0-8bcefBCEF]|1[0-9a-fA-F]|[dD][89a-fA-F][0-9a-fA-F]{2}|[fF]{3}[eEfF]));"
+)
+
+
+def decoded(text: Column) -> Column:
+    """Character references by number and the five of XML decoded; anything else after an ampersand is text."""
+    known = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,5}|#x[0-9a-fA-F]{1,4});)"
+    plain = F.regexp_replace(F.replace(text, F.lit("&#X"), F.lit("&#x")), _NO_CHARACTER, "")
+    safe = F.replace(F.regexp_replace(plain, known, "&amp;"), F.lit("<"), F.lit("&lt;"))
+    parsed = F.xpath_string(F.concat(F.lit("<a>"), safe, F.lit("</a>")), F.lit("/a"))
+    return F.when(F.contains(text, F.lit("&")), parsed).otherwise(text)
 
 
 def _col(column: Column | str) -> Column:

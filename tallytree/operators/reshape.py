@@ -104,6 +104,47 @@ def display(
     return rename_first(printed, filing, header).sort(filing, "section", "el_order", _quoted(header))
 
 
+def most_periods(lines: DataFrame, filing: str = "filing_id", period: str = "period") -> int:
+    """Periods of the filing that has the most; the only number that the driver sees."""
+    counts = lines.select(filing, F.col(period).cast("string")).distinct().groupBy(filing).count()
+    return counts.agg(F.max("count")).first()[0] or 0
+
+
+def display_by_rank(
+    lines: DataFrame, header: str, detail: list[str] | None = None, columns: int | None = None, filing: str = "filing_id"
+) -> DataFrame:
+    """Reports of many filings as they are printed, with as many columns as one filing has periods.
+
+    ``value_1`` .. are the values of the first, second .. period of the own filing, in text order. A header row per filing
+    (``is_header``) names these periods in ``period_1`` .. and has ``header`` as its label; the lines follow by section and
+    el_order. Lines of one label and detail are added up, missing values are 0 where the filing has the period and NULL where it
+    has none. ``columns`` fixes the number of columns; a filing with more periods raises.
+    """
+    detail = detail or []
+    n = most_periods(lines, filing) if columns is None else columns
+    text = lines.withColumn("period", F.col("period").cast("string"))
+    ranked = text.select(filing, "period").distinct().withColumn(
+        "rank", F.row_number().over(Window.partitionBy(filing).orderBy("period")))
+    too_many = F.raise_error(F.lit(f"a filing has more than {n} periods")).cast("int")
+    ranked = ranked.withColumn("rank", F.when(F.col("rank") <= n, F.col("rank")).otherwise(too_many))
+    ranks = list(range(1, n + 1))
+    at = lambda value, k: F.max(F.when(F.col("rank") == k, value))
+    heads = ranked.groupBy(filing).agg(*(at(F.col("period"), k).alias(f"period_{k}") for k in ranks))
+    keys = [filing, "label", *detail]
+    sums = text.groupBy(*keys, "period").agg(sum_or_zero("value").alias("value"), F.min(F.struct("section", "el_order")).alias("_place"))
+    body = sums.join(ranked, [filing, "period"]).groupBy(*keys).agg(
+        F.min("_place").alias("_place"), *(at(F.col("value"), k).alias(f"_{k}") for k in ranks))
+    shown = [F.when(F.col(f"period_{k}").isNotNull(), F.coalesce(f"_{k}", F.lit(0.0))).alias(f"value_{k}") for k in ranks]
+    body = body.join(heads, filing).select(
+        filing, "label", F.lit(False).alias("is_header"), "_place.section", "_place.el_order", *detail,
+        *(F.lit(None).cast("string").alias(f"period_{k}") for k in ranks), *shown)
+    top = heads.select(
+        filing, F.lit(header).alias("label"), F.lit(True).alias("is_header"),
+        *(F.lit(None).cast(body.schema[c].dataType).alias(c) for c in ("section", "el_order", *detail)),
+        *(f"period_{k}" for k in ranks), *(F.lit(None).cast("double").alias(f"value_{k}") for k in ranks))
+    return top.unionByName(body)
+
+
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 

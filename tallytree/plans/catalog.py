@@ -303,6 +303,18 @@ def period_label(spark, sf_dir):
         per.period_label("start_date", "end_date").alias("period"))
 
 
+@query("months_covered", """
+SELECT DISTINCT CAST(o_orderdate AS DATE) AS start_date, CAST(l_receiptdate AS DATE) AS end_date, CAST(
+         list_max(list_filter(range(-1, 24), lambda n: CAST(o_orderdate AS DATE) + to_months(CAST(n AS INT)) <= CAST(l_receiptdate AS DATE))) + 1 AS BIGINT) AS months
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def months_covered(spark, sf_dir):
+    """Every span from an order to a receipt, month ends included."""
+    spans = sample.table(spark, sf_dir, "lineitem").join(
+        sample.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_orderdate").cast("date").alias("start_date"), F.col("l_receiptdate").cast("date").alias("end_date")).distinct()
+    return spans.withColumn("months", per.months_covered("start_date", "end_date"))
+
+
 @query("layout_row_dedupe", o.sql(
     "SELECT filing_id, el_order, element_id, decimals, period, round(value, 4) AS value FROM shown",
     *_CASH_CELLS, o.first_rows("cells"), o.without_repeats("lead_rows", "cells")))
@@ -546,10 +558,15 @@ def pivot_cells(spark, sf_dir):
         *[F.round(f"`{n}`", 4).alias(f"q_{n.replace('-', '_')}") for n in names])
 
 
-@query("units_label", o.sql(f"SELECT filing_id, fact_seq, context_id, element_id, {o.UNITS_TEXT} AS units FROM x_fact"))
+@query("units_label", o.sql(
+    f"""SELECT filing_id, fact_seq, context_id, element_id, {o.UNITS_TEXT} AS units,
+        {o.UNITS_TEXT.replace('decimals', 'digits')} AS other_units
+        FROM (SELECT *, CAST(fact_seq % 19 - 9 AS VARCHAR) AS digits FROM x_fact) q"""))
 def units_label(spark, sf_dir):
+    """Units of the facts as they are, and as if they had -9 to 9 decimals."""
+    digits = (F.col("fact_seq") % 19 - 9).cast("string")
     return sample.landed_star(spark, sf_dir).fact.select(
-        "filing_id", "fact_seq", "context_id", "element_id", num.units_label("decimals").alias("units"))
+        "filing_id", "fact_seq", "context_id", "element_id", num.units_label("decimals").alias("units"), num.units_label(digits).alias("other_units"))
 
 
 @query("disclosure_title", o.sql(
@@ -611,6 +628,88 @@ def balance_sheet_wide(spark, sf_dir):
         *wide.columns[:4], *[F.round(f"`{n}`", 4).alias(f"q_{n.replace('-', '_')}") for n in wide.columns[4:]])
 
 
+def _ranked_sql(printed: str, header: str, detail: list[str], n: int) -> str:
+    """Long rows as a table with a column per period of the own filing."""
+    each = lambda text: ", ".join(text.format(k=k) for k in range(1, n + 1))
+    keys = "".join(f", {d}" for d in detail)
+    return f"""
+WITH printed AS (SELECT * REPLACE (CAST(period AS VARCHAR) AS period) FROM ({printed}) b),
+places AS (SELECT DISTINCT filing_id, period, dense_rank() OVER (PARTITION BY filing_id ORDER BY period) AS rank FROM printed),
+heads AS (SELECT filing_id, {each("max(CASE WHEN rank = {k} THEN period END) AS period_{k}")} FROM places GROUP BY filing_id),
+lines AS (
+  SELECT filing_id, label{keys}, min({{'s': section, 'e': el_order}}) AS place,
+         {each("sum(CASE WHEN rank = {k} THEN value END) AS v{k}")}
+  FROM printed JOIN places USING (filing_id, period) GROUP BY filing_id, label{keys})
+SELECT filing_id, '{header}' AS label, true AS is_header, NULL AS section, NULL AS el_order{"".join(f", NULL AS {d}" for d in detail)},
+       {each("period_{k}")}, {each("CAST(NULL AS DOUBLE) AS value_{k}")} FROM heads
+UNION ALL
+SELECT filing_id, label, false, place.s, place.e{keys}, {each("CAST(NULL AS VARCHAR)")},
+       {each("CASE WHEN period_{k} IS NOT NULL THEN round(coalesce(v{k}, 0), 4) END")} FROM lines JOIN heads USING (filing_id)"""
+
+
+_MOST_PERIODS = 32
+
+
+def _rounded_values(wide: DataFrame) -> DataFrame:
+    return wide.withColumns({c: F.round(c, 4) for c in wide.columns if c.startswith("value_")})
+
+
+@query("balance_sheet_by_rank", _ranked_sql(o.BALANCE_SHEET, "BALANCE SHEET", ["element_id", "is_total"], _MOST_PERIODS))
+def balance_sheet_by_rank(spark, sf_dir):
+    """The balance sheets of all filings; a filing has its own periods as columns, and a row that names them."""
+    lines = rep.balance_sheet(sample.landed_star(spark, sf_dir))
+    return _rounded_values(rs.display_by_rank(lines, "BALANCE SHEET", ["element_id", "is_total"], _MOST_PERIODS))
+
+
+def _income_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = sample.landed_star(spark, sf_dir)
+    lines = rep.income_statement(star, rep.revenue_overrides(spark), sample.filing_tickers(spark, sf_dir))
+    return lines.withColumn("section", F.lit(0))
+
+
+@query("income_statement_by_rank", _ranked_sql(
+    f"SELECT *, 0 AS section FROM ({o.INCOME_STATEMENT}) i", "INCOME STATEMENT", ["is_total"], _MOST_PERIODS))
+def income_statement_by_rank(spark, sf_dir):
+    return _rounded_values(rs.display_by_rank(_income_lines(spark, sf_dir), "INCOME STATEMENT", ["is_total"], _MOST_PERIODS))
+
+
+@query("cash_flow_by_rank", _ranked_sql(
+    f"SELECT *, 0 AS section FROM ({o.CASH_FLOW}) c", "CASH FLOW STATEMENT", ["element_id", "is_total"], _MOST_PERIODS))
+def cash_flow_by_rank(spark, sf_dir):
+    lines = rep.cash_flow(sample.landed_star(spark, sf_dir)).withColumn("section", F.lit(0))
+    return _rounded_values(rs.display_by_rank(lines, "CASH FLOW STATEMENT", ["element_id", "is_total"], _MOST_PERIODS))
+
+
+_DISCLOSED = ["role_id", "element_id", "is_total", "units"]
+
+
+@query("disclosure_by_rank", _ranked_sql(
+    f"SELECT *, 0 AS section, 0 AS el_order FROM ({o.DISCLOSURE}) d", "DISCLOSURE", _DISCLOSED, _MOST_PERIODS))
+def disclosure_by_rank(spark, sf_dir):
+    """The details tables of all filings; lines of a table stand together by role."""
+    lines = rep.disclosure_table(sample.landed_star(spark, sf_dir)).withColumns({"section": F.lit(0), "el_order": F.lit(0)})
+    return _rounded_values(rs.display_by_rank(lines, "DISCLOSURE", _DISCLOSED, _MOST_PERIODS))
+
+
+_FLOW_PERIODS = [f"{n} months ended {p}" for n in ("3", "NA") for p in _quarter_ends()]
+
+
+def _months_name(period: str) -> str:
+    return period.replace(" months ended ", "_months_").replace("-", "_").lower()
+
+
+@query("income_statement_months", f"""
+SELECT filing_id, label AS "INCOME STATEMENT", {', '.join(
+    f"round(coalesce(sum(CASE WHEN period = '{p}' THEN value END), 0), 4) AS x{_months_name(p)}" for p in _FLOW_PERIODS)}
+FROM ({o.INCOME_STATEMENT}) i GROUP BY filing_id, label, is_total""")
+def income_statement_months(spark, sf_dir):
+    """The label and the columns that say how many months they cover, as the income statement prints them."""
+    lines = _income_lines(spark, sf_dir)
+    names = sorted({*_FLOW_PERIODS, *rs.period_values(lines)})
+    wide = rs.select_matching(rs.display(lines, "INCOME STATEMENT", ["is_total"], names), "filing", "income statement", "months")
+    return wide.select(*wide.columns[:2], *[F.round(f"`{n}`", 4).alias("x" + _months_name(n)) for n in wide.columns[2:]])
+
+
 # Filing lists
 
 _LIMITS = {"10-K": 2, "10-Q": 4}
@@ -722,6 +821,16 @@ def first_link(spark, sf_dir):
     return sample.table(spark, sf_dir, "pages").select("page_id", "url", txt.first_link("html", "nav").alias("link"))
 
 
+@query("first_link_marked_up", f"""
+SELECT page_id, {_FIRST_LINK} || '?a=1&b=<2>&copy=é#' AS link FROM pages""")
+def first_link_marked_up(spark, sf_dir):
+    """Links of pages that also have the container in a comment and in a script, and references in their links."""
+    hidden = "<!-- <nav><a href='/old'>x</a></nav> --><script>var t = \"<nav><a href='/code'>\";</script>"
+    page = F.regexp_replace("html", '<a href="([^"]*)"', '<a title="a > b" href="$1?a=1&amp;b=&lt;2&#62;&copy=&#xE9;&#35;"')
+    return sample.table(spark, sf_dir, "pages").select(
+        "page_id", txt.first_link(F.concat(F.lit(hidden), page), "nav").alias("link"))
+
+
 @query("report_link", f"""
 SELECT page_id, replace(concat('https://www.sec.gov', {_FIRST_LINK}), '/ix?doc=', '') AS url,
        concat('<a href="', replace(concat('https://www.sec.gov', {_FIRST_LINK}), '/ix?doc=', ''), '" target="_blank">', url, '</a>') AS report

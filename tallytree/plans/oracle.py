@@ -408,8 +408,10 @@ LEFT JOIN single_label n USING (filing_id, unit, element_id) LEFT JOIN totals t
     SINGLE, ranked_labels("cells"), TOTALS,
 )
 UNITS_TEXT = (
-    "concat(CASE WHEN TRY_CAST(decimals AS DOUBLE) IS NULL THEN 'NA' "
-    "ELSE CAST(CAST(1 / pow(10, TRY_CAST(decimals AS DOUBLE)) AS BIGINT) AS VARCHAR) END, '''s')"
+    "concat(CASE WHEN TRY_CAST(decimals AS DOUBLE) IS NULL THEN 'NA' WHEN isinf(TRY_CAST(decimals AS DOUBLE)) THEN '0' "
+    "WHEN CAST(decimals AS INT) BETWEEN -4 AND 0 THEN CAST(CAST(pow(10, -CAST(decimals AS INT)) AS BIGINT) AS VARCHAR) "
+    "WHEN CAST(decimals AS INT) BETWEEN 1 AND 3 THEN printf('%.*f', CAST(decimals AS INT), pow(10, -CAST(decimals AS INT))) "
+    "ELSE printf('%.0e', pow(10, -CAST(decimals AS INT))) END, '''s')"
 )
 TITLES = """
 headers AS (

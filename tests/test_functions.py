@@ -56,9 +56,9 @@ def test_scale_fact(spark):
 
 
 def test_units_label(spark):
-    df = spark.createDataFrame([("-6",), ("0",), ("2",), ("INF",), (None,)], "d STRING")
+    df = spark.createDataFrame([(d,) for d in ("-6", "0", "2", "INF", None, "-4", "-5", "3", "4", "-12", "10", "-100", "x", "-3")], "d STRING")
     assert [r.u for r in df.select(num.units_label("d").alias("u")).collect()] == [
-        "1000000's", "1's", "0.01's", "0's", "NA's"]
+        f"{u}'s" for u in ("1e+06", "1", "0.01", "0", "NA", "10000", "1e+05", "0.001", "1e-04", "1e+12", "1e-10", "1e+100", "NA", "1000")]
 
 
 def test_period_key_of_first_quarter_is_last_year(spark):
@@ -74,3 +74,27 @@ def test_months_and_period_label(spark):
         "s DATE, e DATE")
     assert [r.p for r in df.select(per.period_label("s", "e").alias("p")).collect()] == [
         "3 months ended 2019-03-31", "12 months ended 2019-12-31", "NA months ended 2019-12-31"]
+
+
+def test_months_of_all_spans_of_two_years(spark):
+    """Every pair of days against counting on the calendar, with the last day of a short month closing a month."""
+    days = spark.range(731).selectExpr("date_add(DATE '2019-01-01', CAST(id AS INT)) AS s")
+    pairs = days.join(days.withColumnRenamed("s", "e"), F.col("e") >= F.col("s"))
+    counted = F.size(F.filter(F.sequence(F.lit(0), F.lit(24)), lambda n: F.add_months("s", n) <= F.col("e")))
+    assert pairs.filter(per.months_covered("s", "e") != counted).isEmpty() and pairs.count() == 731 * 366
+    ends = [(dt.date(2019, 1, 30), dt.date(2019, 2, 28), 2), (dt.date(2019, 1, 31), dt.date(2019, 4, 30), 4), (dt.date(2020, 2, 29), dt.date(2021, 2, 28), 13),
+            (dt.date(2019, 3, 31), dt.date(2019, 4, 29), 1), (dt.date(2019, 2, 28), dt.date(2019, 3, 27), 1)]
+    df = spark.createDataFrame(ends, "s DATE, e DATE, n INT")
+    assert df.filter(per.months_covered("s", "e") != F.col("n")).isEmpty()
+
+
+@pytest.mark.parametrize("html, link", [
+    ("<!-- <table><a href='/old'></a></table> --><table><a href='/new?a=1&amp;b=2'></a></table>", "/new?a=1&b=2"),
+    ("<script>'<table><a href=/s>'</script><TABLE><a class=x href=/plain>x</a></table>", "/plain"),
+    ("<table><a title='a > b' href='/x&#38;&#x2F;&copy;&lt;'>x</a></table>", "/x&/&copy;<"),
+    ("<table><a href='/a&b=<c>&#0;&#xD800;'>x</a></table>", "/a&b=<c>"),
+    ("<table><!-- <a href='/no'> --><a data-href='/no' href='/yes'>", "/yes"),
+    ("<table>x</table><!-- <table><a href='/late'>", None),
+])
+def test_first_link_is_aware_of_html(spark, html, link):
+    assert one(spark, txt.first_link("h"), "h STRING", html) == link
