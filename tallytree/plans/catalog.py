@@ -315,9 +315,9 @@ def months_covered(spark, sf_dir):
     return spans.withColumn("months", per.months_covered("start_date", "end_date"))
 
 
-@query("layout_row_dedupe", o.sql(
+@query("layout_row_dedupe", o.materialized(o.sql(
     "SELECT filing_id, el_order, element_id, decimals, period, round(value, 4) AS value FROM shown",
-    *_CASH_CELLS, o.first_rows("cells"), o.without_repeats("lead_rows", "cells")))
+    *_CASH_CELLS, o.first_rows("cells"), o.without_repeats("lead_rows", "cells"))))
 def layout_row_dedupe(spark, sf_dir):
     cells = _cash_cells(spark, sf_dir)
     keyed = f.first_line(f.row_keys(cells, f.last_two_periods(cells)))
@@ -338,8 +338,8 @@ def _leaf_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 _LABELS = (o.CASH_LEAVES, o.ranked_labels("leaf_lines"))
 
 
-@query("label_tier1", o.sql(
-    "SELECT filing_id, unit, element_id, label_string FROM tier12 WHERE tier = 1", *_LABELS))
+@query("label_tier1", o.materialized(o.sql(
+    "SELECT filing_id, unit, element_id, label_string FROM tier12 WHERE tier = 1", *_LABELS)))
 def label_tier1(spark, sf_dir):
     lines, units = _leaf_lines(spark, sf_dir)
     star = sample.landed_star(spark, sf_dir)
@@ -347,12 +347,12 @@ def label_tier1(spark, sf_dir):
         *tr.UNIT, "element_id", "label_string")
 
 
-@query("label_tier2", o.sql(
+@query("label_tier2", o.materialized(o.sql(
     """SELECT w.filing_id, w.unit, w.element_id, l.label_string, p.arc_seq FROM leaf_lines w
        ANTI JOIN (SELECT filing_id, unit, element_id FROM tier12 WHERE tier = 1) t USING (filing_id, unit, element_id)
        JOIN x_pres p ON p.filing_id = w.filing_id AND p.to_element_id = w.element_id
        JOIN x_label l ON l.filing_id = w.filing_id AND l.element_id = w.element_id AND l.label_role = p.preferred_label
-       WHERE l.lang = 'en-US'""", *_LABELS))
+       WHERE l.lang = 'en-US'""", *_LABELS)))
 def label_tier2(spark, sf_dir):
     lines, units = _leaf_lines(spark, sf_dir)
     star = sample.landed_star(spark, sf_dir)

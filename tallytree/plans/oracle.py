@@ -5,6 +5,8 @@ Plain ANSI-style SQL over the given tables, written on its own and not from the
 
 from __future__ import annotations
 
+import re
+
 LABEL = "http://www.xbrl.org/2003/role/label"
 TOTAL = "http://www.xbrl.org/2003/role/totalLabel"
 
@@ -147,6 +149,11 @@ def sql(body: str, *ctes: str) -> str:
     return "WITH RECURSIVE " + ",\n".join([STAR.strip(), *[c.strip() for c in ctes]]) + "\n" + body.strip()
 
 
+def materialized(text: str) -> str:
+    """The same SQL with every named query computed once, whatever the planner would choose."""
+    return re.sub(r"(?m)^(\s*\w+) AS \($", r"\1 AS MATERIALIZED (", text)
+
+
 def tree(unit: str, order: str = "numeric") -> str:
     """units, arcs, walk, paths and lines (leaves numbered in preorder) of a report."""
     o = "CAST(arc_order AS DOUBLE)" if order == "numeric" else "arc_order"
