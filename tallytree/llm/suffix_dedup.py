@@ -16,10 +16,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallytree.llm.hotkeys import hot_values, join_spread
 from tallytree.llm.rawtext import RollingHash, batches, mixed, places_of_minima
 from tallytree.session import pin
 
@@ -227,16 +227,23 @@ def _sorted_groups(length: int, anchor: int):
 
 
 def _window_hashes(length: int):
-    """Every window of the surroundings of a crowded anchor."""
-    def work(stream: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in stream:
-            for _, r in frame.iterrows():
-                near, far = int(r["least"]), int(r["most"])
-                data = np.frombuffer(r["bytes"], dtype=np.uint8)
-                hashes = RollingHash(data).windows(length)[: far - near + 1]
-                yield pd.DataFrame({
-                    "key": r["key"], "around": r["around"], "copies": r["copies"],
-                    "near": np.arange(far, near - 1, -1), "window": hashes.view(np.int64)})
+    """Every window of the surroundings of crowded anchors."""
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                column = {n: part.column(i) for i, n in enumerate(part.schema.names)}
+                least, most = (column[n].to_numpy().astype(np.int64) for n in ("least", "most"))
+                blobs = column["bytes"].to_pylist()
+                begin = np.concatenate(([0], np.cumsum([len(b) for b in blobs])[:-1]))
+                each = most - least + 1
+                row = np.repeat(np.arange(each.size), each)
+                step = np.arange(row.size) - np.repeat(np.cumsum(each) - each, each)
+                hashes = RollingHash(np.frombuffer(b"".join(blobs), dtype=np.uint8)).of(begin[row] + step, begin[row] + step + length)
+                pick = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [*(column[n].take(pick) for n in ("key", "around", "copies")), pa.array((most[row] - step).astype(np.int16)), pa.array(hashes.view(np.int64))],
+                    ["key", "around", "copies", "near", "window"])
 
     return work
 
@@ -249,8 +256,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     anchors = pin(_scan(docs, length, anchor), "suffix-anchors")
     keys = anchors.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min("around").alias("a0"), F.max("around").alias("a1")).filter("n > 1")
-    hits = pin(
-        anchors.join(keys.select("key", (F.col("a0") != F.col("a1")).alias("differs")), "key"), "suffix-hits")
+    keys = pin(keys.select("key", "n", (F.col("a0") != F.col("a1")).alias("differs")), "suffix-keys")
+    # The anchors of very frequent passages spread over tasks.
+    hot = hot_values(keys, "key", anchors.count())
+    spread = F.struct("row_id", "text_key", "place")
+    hits = pin(join_spread(anchors, keys.drop("n"), ["key"], "key", hot, spread), "suffix-hits")
 
     around = hits.filter("differs").groupBy("key", "around", "least", "most").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("text_key", "row_id", "place")).alias("one"))
@@ -269,7 +279,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     met = cut.filter("NOT crowded").select("key", "around", "least", "most", "copies", "bytes")
     compared = met.repartition("key").sortWithinPartitions("key", "around").mapInArrow(
         _sorted_groups(length, anchor), "key long, around long, near short, far short")
-    windows = cut.filter("crowded").mapInPandas(
+    crowds = cut.filter("crowded").select("key", "around", "least", "most", "copies", "bytes")
+    windows = crowds.mapInArrow(
         _window_hashes(length), "key long, around long, copies long, near short, window long")
     windows = pin(windows, "suffix-windows")
     twice = windows.groupBy("key", "near", "window").agg(
@@ -279,7 +290,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ranges = pin(compared.unionByName(crowded.distinct()), "suffix-ranges")
 
     whole = hits.filter("NOT differs").select("text_key", "place", F.col("least").alias("near"), F.col("most").alias("far"))
-    partly = hits.filter("differs").join(ranges, ["key", "around"]).select("text_key", "place", "near", "far")
+    partly = join_spread(hits.filter("differs"), ranges, ["key", "around"], "key", hot, spread).select("text_key", "place", "near", "far")
     spans = whole.unionByName(partly).select(
         "text_key", (F.col("place") - F.col("far")).alias("from"), (F.col("place") - F.col("near") + length).alias("to"))
     return spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))

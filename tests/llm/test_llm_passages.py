@@ -6,7 +6,7 @@ import random
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from tallytree.llm import suffix_dedup as sd
+from tallytree.llm import hotkeys, suffix_dedup as sd
 from tallytree.llm.rawtext import sliding_min
 
 from conftest import rows
@@ -84,6 +84,14 @@ def test_removal_equals_brute_force(spark):
     assert kept[0] is None and kept[1] == "" and kept[2] == "short" and len(kept[4]) == len(texts[4])
 
 
+def test_hot_anchors_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(hotkeys, "HOT_SHARE", 1e-6)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING").repartition(3)
+    got = rows(sd.remove_repeats(docs, length=100, anchor=32, crowd=4), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted([(i, *w) for i, w in enumerate(brute(texts, 100))], key=lambda t: tuple((False, str(v)) for v in t))
+
+
 def test_default_length_on_longer_texts(spark):
     r = random.Random(8)
     prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
