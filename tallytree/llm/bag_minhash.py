@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallytree.llm.graphs import components
 from tallytree.llm.rawtext import WordGrid, batches, mixed
@@ -121,6 +121,19 @@ def sign(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int = 5)
     return docs.mapInArrow(work, _SIGNED.format(id=docs.schema["row_id"].dataType.simpleString()))
 
 
+def _compared(left: list[str], right: list[str], threshold: float, words: int):
+    """For texts side by side: their shingles by pair and element, which rows are met by the next, and which pairs overlap enough."""
+    both = [t.encode() for pair in zip(left, right) for t in pair]
+    row, element, weight = weighted_shingles(both, words)
+    pair, side = row >> 1, row & 1
+    order = np.lexsort((side, element, pair))
+    pair, side, element, weight = pair[order], side[order], element[order], weight[order]
+    same = np.flatnonzero((pair[1:] == pair[:-1]) & (element[1:] == element[:-1]))
+    least = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=len(left))
+    most = np.bincount(pair, weights=weight, minlength=len(left)) - least
+    return pair, side, weight, same, (most > 0) & (least >= threshold * most - 1e-9)
+
+
 def overlaps(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` (a, b, left, right) whose texts overlap: sum of minima / sum of maxima >= threshold."""
 
@@ -129,21 +142,45 @@ def overlaps(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for start in range(0, batch.num_rows, 128):
                 a, b, left, right = (c[start : start + 128] for c in columns)
-                both = [t.encode() for pair in zip(left, right) for t in pair]
-                row, element, weight = weighted_shingles(both, words)
-                pair, side = row >> 1, row & 1
-                order = np.lexsort((side, element, pair))
-                pair, element, weight = pair[order], element[order], weight[order]
-                same = np.flatnonzero((pair[1:] == pair[:-1]) & (element[1:] == element[:-1]))
-                least = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=len(a))
-                most = np.bincount(pair, weights=weight, minlength=len(a)) - least
-                ok = np.flatnonzero((most > 0) & (least >= threshold * most - 1e-9))
+                ok = np.flatnonzero(_compared(left, right, threshold, words)[-1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for i in ok], pa.binary()) for x in (a, b)], ["a", "b"])
 
     return pairs.select("a", "b", "left", "right").mapInArrow(work, "a binary, b binary")
 
 
+def star_overlaps(pairs: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(a, b, linked, units) of ``pairs`` (a, b, left, right): whether they overlap, and what b has of a.
+
+    ``units`` has a bit for each word run of a, as often as it occurs there, in the same order for every b. What two texts
+    have in common of a is the number of bits that both have.
+    """
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            for start in range(0, batch.num_rows, 128):
+                a, b, left, right = (c[start : start + 128] for c in columns)
+                pair, side, weight, same, linked = _compared(left, right, threshold, words)
+                own = np.where(side == 0, weight, 0)
+                total = np.bincount(pair, weights=own, minlength=len(a)).astype(np.int64)
+                longs = -(-total // 64)
+                first = 64 * (np.cumsum(longs) - longs)
+                at = first[pair] + np.cumsum(own) - own - (np.cumsum(total) - total)[pair]
+                # Runs of bits, from where an element of a starts, as many as b has of it.
+                edges = np.zeros(64 * int(longs.sum()) + 1, dtype=np.int32)
+                np.add.at(edges, at[same], 1)
+                np.add.at(edges, at[same] + np.minimum(weight[same], weight[same + 1]), -1)
+                bits = np.packbits(np.cumsum(edges[:-1]) > 0, bitorder="little").view(np.int64)
+                ends = np.concatenate(([0], np.cumsum(longs))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(linked),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(bits, pa.int64())),
+                ], ["a", "b", "linked", "units"])
+
+    return pairs.select("a", "b", "left", "right").mapInArrow(work, "a binary, b binary, linked boolean, units array<long>")
+
+
 def _elements(texts: DataFrame, words: int) -> DataFrame:
     """(owner, element, weight) of texts (owner, text)."""
 
@@ -186,6 +223,11 @@ def _alike(a: str, b: str, threshold: float, components: int):
     return (small >= large * F.lit(threshold) - F.lit(1e-9)) & (apart <= limit)
 
 
+def _ones(longs: Column) -> Column:
+    """The bits that are set in an array of longs."""
+    return F.aggregate(longs, F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     threshold: float = 0.8, words: int = 5, bands: int = BANDS, rows: int = ROWS,
@@ -202,7 +244,7 @@ def near_duplicates(
     Candidates share one of ``bands`` bands of ``rows`` components (a pair at the threshold is
     missed with probability ``(1 - threshold ** rows) ** bands``). Each bucket first tests all
     members against a leader. Members that are then still in different components are tested pair
-    by pair, unless sketches or the words that a text shares with no other rule the link out, so no
+    by pair, unless sketches, the words that a text shares with no other or what both have of the leader rule the link out, so no
     link between candidates is lost and a group of copies costs its size rather than its square.
     """
     source = docs.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("text"))
@@ -234,8 +276,8 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     members = pin(members.join(buckets, "bucket"), "bag-buckets")
     # The leader is the smallest key in half of the buckets and the largest in the others.
     led = F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high"))
-    stars = members.select(led.alias("a"), F.col("text_key").alias("b")).filter("a <> b")
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = members.withColumn("leader", led)
+    stars = members.select(F.col("leader").alias("a"), F.col("text_key").alias("b")).filter("a <> b").distinct()
 
     side = lambda x: texts.select(
         F.col("text_key").alias(x), F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"))
@@ -250,16 +292,17 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
         "bag-crowd",
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         left = wanted.select(F.col("text_key").alias("a"), F.col("text").alias("left"))
         right = wanted.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
-        return overlaps(pairs.join(left, "a").join(right, "b"), threshold, words)
+        return pairs.join(left, "a").join(right, "b")
 
-    links = pin(verified(stars), "bag-links")
+    met = pin(star_overlaps(with_texts(stars), threshold, words), "bag-links")
+    links = met.filter("linked").select("a", "b")
     roots = pin(components(links), "bag-roots")
 
     # What the leaders left apart: all pairs of a bucket across components.
-    placed = members.select("bucket", "band", "text_key").join(
+    placed = members.select("bucket", "band", "leader", "text_key").join(
         roots.withColumnRenamed("node", "text_key"), "text_key", "left"
     ).withColumn("root", F.coalesce("root", "text_key"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
@@ -269,19 +312,25 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     bound = shareable(single.join(wanted, "text_key").select("text_key", "weight", "text"), words)
     single = pin(
         single.join(bound, "text_key").filter(F.col("can_share") >= F.lit(threshold) * F.col("weight") - F.lit(1e-9)), "bag-able")
-    open_ = open_.join(single, "text_key")
+    # Leaders have met all others of their bucket. What the others have of the leader bounds what they share.
+    units = met.select(F.col("a").alias("leader"), F.col("b").alias("text_key"), "units", _ones(F.col("units")).alias("of_leader"))
+    open_ = open_.filter("text_key <> leader").join(single, "text_key").join(units, ["leader", "text_key"], "left")
     half = lambda x: open_.select(
-        "bucket", "band", F.col("text_key").alias(x), F.col("root").alias(f"{x}_root"), F.col("bands").alias(f"{x}_bands"),
+        "bucket", "band", F.col("text_key").alias(x), F.col("units").alias(f"{x}_units"),
+        (F.col("can_share") - F.col("of_leader")).alias(f"{x}_beside"), F.col("root").alias(f"{x}_root"), F.col("bands").alias(f"{x}_bands"),
         F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"), F.col("can_share").alias(f"{x}_share"))
-    most = F.least("a_share", "b_share")
-    enough = most >= F.lit(threshold) * (F.col("a_weight") + F.col("b_weight") - most) - F.lit(1e-9)
+    enough = lambda most: most >= F.lit(threshold) * (F.col("a_weight") + F.col("b_weight") - most) - F.lit(1e-9)
+    of_leader = _ones(F.zip_with("a_units", "b_units", lambda x, y: x.bitwiseAND(y)))
+    bounded = F.coalesce(enough(of_leader + F.least("a_beside", "b_beside")), F.lit(True))
     # A pair counts in the first band that it shares; bands salt their buckets, so equal ones are of one band.
     before = [F.slice(f"{x}_bands", F.lit(1), F.col("band")) for x in ("a", "b")]
     rest = half("a").join(half("b").drop("band"), "bucket").filter(
-        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough & alike & ~F.arrays_overlap(*before)
+        (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & enough(F.least("a_share", "b_share")) & alike
+        & ~F.arrays_overlap(*before) & bounded
     ).select("a", "b").distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    more = pin(verified(rest), "bag-more-links")
+    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = rest.join(tested, ["a", "b"], "left_anti")
+    more = pin(overlaps(with_texts(rest), threshold, words), "bag-more-links")
     if not more.isEmpty():
         # Whole components meet: their roots are linked.
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))

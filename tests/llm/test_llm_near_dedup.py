@@ -203,3 +203,32 @@ def test_unusable_vectors_link_with_nothing(spark, kind):
     assert sorted(r for r in out if r[0] in (9, 10, 13)) == [(9, 4, 9, True), (10, 4, 9, False), (13, 4, 9, False), (13, 4, 9, False)]
     assert [r for r in out if r[0] is None] == [(None, 4, 9, False)]
     assert embedding_forest.near_duplicate_vectors(df.limit(0)).count() == 0
+
+
+def test_what_texts_have_of_a_leader(spark):
+    """Common bits are the overlap of two texts within the leader, occurrences counted."""
+    r = random.Random(2)
+    leader = " ".join(r.choice("abcd") for _ in range(300))
+    others = []
+    for _ in range(12):
+        words = leader.split()
+        for _ in range(r.randint(0, 40)):
+            words[r.randrange(300)] = r.choice("abcdx")
+        others.append(" ".join(words[r.randint(0, 50):]))
+    pairs = spark.createDataFrame([(b"L", bytes([65 + i]), leader, t) for i, t in enumerate(others)], "a BINARY, b BINARY, left STRING, right STRING")
+    got = {bytes(x.b): x for x in bag_minhash.star_overlaps(pairs, 0.8, 5).collect()}
+
+    def bag(text):
+        w = text.split()
+        return Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+
+    top, bits = bag(leader), {}
+    for i, text in enumerate(others):
+        row = got[bytes([65 + i])]
+        bits[i] = [x & (2**64 - 1) for x in row.units]
+        assert sum(x.bit_count() for x in bits[i]) == sum((top & bag(text)).values())
+        both, either = sum((top & bag(text)).values()), sum((top | bag(text)).values())
+        assert row.linked == (both >= 0.8 * either)
+    for i in bits:
+        for j in bits:
+            assert sum((x & y).bit_count() for x, y in zip(bits[i], bits[j])) == sum((top & bag(others[i]) & bag(others[j])).values())
