@@ -13,8 +13,8 @@ def write_statement(
 ) -> None:
     """Write long report rows as folders per statement and year.
 
-    The year comes from the date that ends the period text. Rows are spread by folder and
-    filing before the write, so a folder gets files of balanced size and no single writer.
+    The year comes from the date that ends the period text. Rows are spread by folder before the
+    write and a large folder over several tasks, so its files are of balanced size and have no single writer.
     """
     if fmt not in FORMATS:
         raise ValueError(f"format {fmt!r} is not one of {FORMATS}")

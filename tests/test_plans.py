@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tallytree import session
 from tallytree.operators import firsts
 from tallytree.plans import catalog, reports, sample_star
 from tallytree.star import Star
@@ -76,3 +77,27 @@ def test_printed_lines_are_leaves(spark, star):
 def test_sections_follow_display_order(spark, star):
     out = reports.balance_sheet(star)
     assert out.filter("section > 0").count() > 0 and out.filter("section = 0").count() > 0
+
+
+@pytest.mark.parametrize("name", ["statement_lines", "balance_sheet", "label_tiers", "xml_presentation"])
+def test_every_written_step_is_distributed(spark, monkeypatch, name):
+    """No step of a query, as far as it is written, multiplies rows in a cross join or brings them into one partition."""
+    plans = {}
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: plans.setdefault(f"{step}-{len(plans)}", plan_of(df))])
+    plans["result"] = plan_of(catalog.CATALOG[name].build(spark, SF_DIR))
+    assert len(plans) > 1 or name == "label_tiers"
+    for step, plan in plans.items():
+        for unwanted in ("PythonUDF", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
+            assert unwanted not in plan, step
+
+
+def test_statements_share_their_steps(spark, star, monkeypatch):
+    """One walk and ten written tables for three statements, and the same rows as each statement alone."""
+    steps = []
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: steps.append(step)])
+    together = reports.statement_lines(star)
+    assert steps.count("tree-arcs") == 1 and len(steps) <= 10
+    alone = {"balance_sheet": reports.balance_sheet(star), "cash_flow": reports.cash_flow(star), "income_statement": reports.income_statement(star)}
+    for name, report in alone.items():
+        mine = together.filter(F.col("statement") == name).select(*report.columns)
+        assert _same(mine, report)
