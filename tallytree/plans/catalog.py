@@ -304,14 +304,16 @@ def period_label(spark, sf_dir):
 
 
 @query("months_covered", """
-SELECT DISTINCT CAST(o_orderdate AS DATE) AS start_date, CAST(l_receiptdate AS DATE) AS end_date, CAST(
-         list_max(list_filter(range(-1, 24), lambda n: CAST(o_orderdate AS DATE) + to_months(CAST(n AS INT)) <= CAST(l_receiptdate AS DATE))) + 1 AS BIGINT) AS months
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+SELECT DISTINCT start_date, end_date, CAST(
+         list_max(list_filter(range(0, 200), lambda n: start_date + to_months(CAST(n AS INT)) <= end_date)) + 1 AS BIGINT) AS months
+FROM (SELECT least(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS start_date, greatest(CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS end_date
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey) spans""")
 def months_covered(spark, sf_dir):
-    """Every span from an order to a receipt, month ends included."""
-    spans = sample.table(spark, sf_dir, "lineitem").join(
+    """Every span between the date of an order and that of a shipment, up to seven years, month ends included."""
+    dates = sample.table(spark, sf_dir, "lineitem").join(
         sample.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_orderdate").cast("date").alias("start_date"), F.col("l_receiptdate").cast("date").alias("end_date")).distinct()
+        F.col("o_orderdate").cast("date").alias("a"), F.col("l_shipdate").cast("date").alias("b"))
+    spans = dates.select(F.least("a", "b").alias("start_date"), F.greatest("a", "b").alias("end_date")).distinct()
     return spans.withColumn("months", per.months_covered("start_date", "end_date"))
 
 
