@@ -21,7 +21,10 @@ def hot_values(counted: DataFrame, column: str, total: int, n: str = "n") -> lis
 
 
 def join_spread(left: DataFrame, right: DataFrame, on: list[str], hot_column: str, hot: list, spread: Column) -> DataFrame:
-    """Inner join; rows of ``left`` with a hot value go to SALTS places by ``spread``, their partners to all of them."""
+    """Inner join; rows of ``left`` with a hot value go to SALTS places by ``spread``, their partners to all of them.
+
+    ``right`` should have few rows for a value of ``hot_column``, for those of hot values are repeated.
+    """
     if not hot:
         return left.join(right, on)
     is_hot = F.col(hot_column).isin(hot)

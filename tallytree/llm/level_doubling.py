@@ -181,8 +181,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
         named = pin(_extended(living, window, length), f"doubling-{length}")
         counted = named.groupBy("key", "mark").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
         counted = pin(counted.filter("copies > 1").select("key", "mark", "n"), f"doubling-twice-{length}")
-        hot = hot_values(counted, "key", named.count())
-        alive = join_spread(named.drop("copies"), counted.drop("n"), ["key", "mark"], "key", hot, F.col("around"))
+        hot = hot_values(counted, "mark", named.count())
+        alive = join_spread(named.drop("copies"), counted.drop("n"), ["key", "mark"], "mark", hot, F.col("around"))
         ranges = pin(alive.groupBy("key", "around").agg(F.collect_list(F.struct("near", "far")).alias("alive")), f"doubling-alive-{length}")
         if length == window or ranges.isEmpty():
             break
@@ -190,9 +190,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE) ->
 
     place = lambda near, far: F.struct((F.col("place") - far).alias("from"), (F.col("place") - near + window).alias("to"))
     whole = hits.filter("NOT differs").select("row_id", "text_key", place(F.col("least"), F.col("most")).alias("span"))
-    sizes = hits.filter("differs").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_values(sizes, "key", hits.count())
-    partly = join_spread(hits.filter("differs"), ranges, ["key", "around"], "key", hot, F.struct("row_id", "place"))
+    sizes = hits.filter("differs").groupBy("around").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_values(sizes, "around", hits.count())
+    partly = join_spread(hits.filter("differs"), ranges, ["key", "around"], "around", hot, F.struct("row_id", "place"))
     partly = partly.select("row_id", "text_key", "place", F.explode("alive").alias("r")).select(
         "row_id", "text_key", place(F.col("r.near"), F.col("r.far")).alias("span"))
     return whole.unionByName(partly).groupBy("row_id", "text_key").agg(F.collect_set("span").alias("spans"))

@@ -290,7 +290,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     ranges = pin(compared.unionByName(crowded.distinct()), "suffix-ranges")
 
     whole = hits.filter("NOT differs").select("text_key", "place", F.col("least").alias("near"), F.col("most").alias("far"))
-    partly = join_spread(hits.filter("differs"), ranges, ["key", "around"], "key", hot, spread).select("text_key", "place", "near", "far")
+    hot = hot_values(around, "around", hits.count(), "copies")
+    partly = join_spread(hits.filter("differs"), ranges, ["key", "around"], "around", hot, spread).select("text_key", "place", "near", "far")
     spans = whole.unionByName(partly).select(
         "text_key", (F.col("place") - F.col("far")).alias("from"), (F.col("place") - F.col("near") + length).alias("to"))
     return spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
