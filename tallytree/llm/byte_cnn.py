@@ -8,19 +8,22 @@ text vote with their log probabilities.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallytree.llm.pairwise_quality import fit_sample, held_out
+from tallytree.llm.pairwise_quality import held_out
 from tallytree.llm.rawtext import batches
 
 WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 12
-#: At most about so many documents, chosen by hash, take part in the training.
-FIT_ROWS = 4000
+#: About FIT_ROWS documents, chosen by hash, take part in the training, and about FIT_LANG at least of every language that has as many.
+FIT_ROWS, FIT_LANG = 4000, 200
+#: Windows of one document that take part at most.
+FIT_WINDOWS = 16
 STEPS, BATCH, RATE = 400, 128, 0.02
 UNKNOWN = "und"
 
@@ -100,38 +103,65 @@ class Network:
                 w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
 
-def fitted(texts: list[str], langs: list[str]) -> tuple[Network, list[str]]:
-    """A network trained on whole labelled texts, each weighing no more than 16 of its windows, and its languages."""
-    names = sorted(set(langs))
+def some_windows(text: bytes, many: int = FIT_WINDOWS, window: int = WINDOW) -> list[bytes]:
+    """The windows of a text, or ``many`` of them chosen by its checksum."""
+    count = -(-len(text) // window)
+    picked = range(count) if count <= many else sorted(np.random.default_rng(zlib.crc32(text)).choice(count, many, replace=False).tolist())
+    return [text[k * window : (k + 1) * window] for k in picked]
+
+
+def training_windows(usable: DataFrame, fit_rows: int = FIT_ROWS, fit_lang: int = FIT_LANG) -> list[tuple[str, bytes]]:
+    """(language, window) of the documents (row_id, lang, text) that the training reads, in order, equal ones once.
+
+    A document takes part if its hash falls below the share of its language: what gives ``fit_rows`` documents of all
+    languages or ``fit_lang`` of this one, whichever is more. Tasks cut the texts, so the driver gets at most 4 KB of a
+    document, and about ``fit_rows`` + ``fit_lang`` x languages documents.
+    """
+    sizes = sorted((r[0], r[1]) for r in usable.groupBy("lang").count().collect())
+    if not sizes:
+        return []
+    total = sum(n for _, n in sizes)
+    shares = F.create_map(*[F.lit(x) for lang, n in sizes for x in (lang, max(fit_rows / total, fit_lang / n))])
+    chance = F.pmod(F.xxhash64("row_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    picked = usable.filter(chance < F.element_at(shares, F.col("lang"))).filter(F.col("text").rlike("\\p{L}"))
+
+    def cut(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in batches(stream, "text"):
+            found = [(lang, w) for lang, t in zip(part.column(0).to_pylist(), texts) for w in some_windows(t)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x for x, _ in found], pa.string()), pa.array([w for _, w in found], pa.binary())], ["lang", "window"])
+
+    windows = picked.select("lang", "text").mapInArrow(cut, "lang string, window binary").distinct()
+    return sorted((r[0], bytes(r[1])) for r in windows.collect())
+
+
+def fitted(windows: list[tuple[str, bytes]]) -> tuple[Network, list[str]]:
+    """A network trained on labelled windows, and its languages."""
+    names = sorted({lang for lang, _ in windows})
     index = {x: i for i, x in enumerate(names)}
-    row, windows = windows_of([t.encode() for t in texts])
-    random = np.random.default_rng(9)
-    order = random.permutation(len(row))
-    order = order[np.argsort(row[order], kind="stable")]
-    place = np.arange(len(row)) - np.searchsorted(row[order], row[order])
-    order = order[place < 16]
     network = Network(len(names))
-    network.train(windows[order], np.array([index[x] for x in langs])[row[order]])
+    network.train(windows_of([w for _, w in windows])[1], np.array([index[lang] for lang, _ in windows]))
     return network, names
 
 
 def identified(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fit_rows: int = FIT_ROWS
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", fit_rows: int = FIT_ROWS,
+    fit_lang: int = FIT_LANG,
 ) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row.
 
-    Rows with crc32(id as text) mod 5 = 0 are held out of the training, which reads about ``fit_rows`` of the others at most,
-    chosen by hash, with a language and a letter. Every window of every whole text is classified. A null
-    text and one without a letter is ``und`` with score 0, as is any text if nothing could be learned. The score is the probability of
-    the prediction, from the mean log probabilities of the windows. Other columns are not touched.
+    Rows with crc32(id as text) mod 5 = 0 are held out of the training, which reads at most 16 windows of about ``fit_rows`` of the
+    others, and of about ``fit_lang`` of each language, chosen by hash, with a language and a letter. Every window of every whole
+    text is classified. A null text and one without a letter is ``und`` with score 0, as is any text if nothing could be
+    learned. The score is the probability of the prediction, from the mean log probabilities of the windows. Repeated rows get
+    equal results and count once in the training. Other columns are not touched.
     """
     source = docs.select(
         F.col(id_column).alias("row_id"), held_out(F.col(id_column)).alias("held_out"), F.col(text_column).alias("text"))
     usable = docs.select(F.col(id_column).alias("row_id"), F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).filter(
-        F.col("row_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & ~held_out(F.col("row_id")))
-    # Counted without reading the texts twice: the share comes from all rows with a language.
-    train = fit_sample(usable, fit_rows, "lang", "text")
-    network, names = fitted([r[2] for r in train], [r[1] for r in train]) if train else (None, [])
+        F.col("row_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("row_id")))
+    train = training_windows(usable, fit_rows, fit_lang)
+    network, names = fitted(train) if train else (None, [])
 
     def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in batches(stream, "text", 1 << 19):

@@ -137,6 +137,27 @@ def test_language_of_odd_rows(spark):
     assert byte_cnn.identified(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_and_long_texts_in_the_training(spark):
+    """A language of few rows is learned from a small sample; a long text gives no more windows than others, repeated rows one share."""
+    few = spark.range(60).selectExpr("id + 100000 AS doc_id", "concat('le chat et la maison ', id, ' des enfants') AS text", "'fr' AS lang")
+    many = spark.range(6000).selectExpr("id AS doc_id", "concat('the cat and the dog ', id, ' of the house') AS text", "'en' AS lang")
+    docs = many.union(few)
+    out = byte_cnn.identified(docs, fit_rows=50, fit_lang=30).join(docs, "doc_id").groupBy("lang", "lang_pred").count().collect()
+    assert {(r[0], r[1]) for r in out} == {("en", "en"), ("fr", "fr")}
+    long = spark.createDataFrame([(1, "en", "many words " * 300_000)] * 50 + [(2, "en", "!?"), (3, "de", "ein Wort")], "row_id LONG, lang STRING, text STRING")
+    windows = byte_cnn.training_windows(long.repartition(5))
+    assert [(lang, len(w)) for lang, w in windows] == [("de", 8)] + [("en", 256)] * (len(windows) - 1) and 2 <= len(windows) <= 17
+    assert windows == byte_cnn.training_windows(long.repartition(2))
+
+
+def test_windows_of_the_training():
+    text = bytes(range(256)) * 5 + b"end"
+    assert b"".join(byte_cnn.some_windows(text, 6)) == text and byte_cnn.some_windows(b"") == []
+    picked = byte_cnn.some_windows(text, 3, 100)
+    cuts = [text[k : k + 100] for k in range(0, len(text), 100)]
+    assert len(picked) == 3 and all(w in cuts for w in picked) and picked == byte_cnn.some_windows(text, 3, 100)
+
+
 def test_windows_cover_whole_texts():
     row, windows = byte_cnn.windows_of([b"a" * 600, b"", b"B"], 256)
     assert row.tolist() == [0, 0, 0, 2] and windows[2].tolist() == [97] * 88 + [0] * 168 and windows[3][0] == 98
