@@ -105,6 +105,23 @@ def test_label_tiers(spark):
     assert rows(lab.first_label(*_label_star(spark)), "element_id", "label_string", "tier") == want
 
 
+def test_all_labels_of_a_choice_against_the_first(spark):
+    """An element with several labels of its best choice keeps each text once, or the one of its first arc."""
+    lines = spark.createDataFrame([(1, "u", "a"), (1, "u", "b")], "filing_id BIGINT, unit STRING, element_id STRING")
+    units = spark.createDataFrame([(1, "u", "r1")], "filing_id BIGINT, unit STRING, role_id STRING")
+    pres = spark.createDataFrame([
+        (1, 1, "r1", "x", "a", "1", "terse"), (1, 2, "r1", "x", "a", "2", "plain"),
+        (1, 3, "r2", "x", "b", "1", "plain"), (1, 4, "r2", "x", "b", "2", "terse"),
+    ], "filing_id BIGINT, arc_seq BIGINT, role_id STRING, from_element_id STRING, to_element_id STRING, arc_order STRING, preferred_label STRING")
+    label = spark.createDataFrame([
+        (1, 1, "a", "plain", "en-US", "A"), (1, 2, "a", "terse", "en-US", "A short"), (1, 3, "a", "terse", "en-US", "A"),
+        (1, 4, "b", "terse", "en-US", "B short"), (1, 5, "b", "plain", "en-US", "B"), (1, 6, "b", "plain", "fr", "B fr"),
+    ], "filing_id BIGINT, label_seq BIGINT, element_id STRING, label_role STRING, lang STRING, label_string STRING")
+    star, names = (lines, pres, units, label), ("element_id", "label_string", "tier")
+    assert rows(lab.label_tiers(*star), *names) == [("a", "A", 1), ("a", "A short", 1), ("b", "B", 2), ("b", "B short", 2)]
+    assert rows(lab.first_label(*star), *names) == [("a", "A short", 1), ("b", "B", 2)]
+
+
 def test_missing_label_role_matches_missing_preference(spark):
     lines, pres, units, label = _label_star(spark)
     extra = spark.createDataFrame([(1, 9, "b", None, "en-US", "B without role")], label.schema)
