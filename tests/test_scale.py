@@ -56,7 +56,7 @@ def test_joins_of_reports_know_the_size_of_rows(spark):
     spark.conf.set(key, "2MB")
     try:
         session.join_by_row_size(session.join_by_row_size(spark))
-        assert spark.conf.get(key) == "-1"
+        assert spark.conf.get(key) == session.JOIN_SETTINGS[key] == "256KB"
         session.join_by_row_size(spark, False)
         assert spark.conf.get(key) == "2MB"
     finally:
