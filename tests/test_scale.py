@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallytree import session
-from tallytree.operators import reshape, roles
+from tallytree.operators import labels, reshape, roles
 from tallytree.plans import sample_star
 from tallytree.sources import instance, rejects
 
@@ -82,3 +82,50 @@ def test_printed_lines_are_computed_once(spark, monkeypatch):
     assert reshape.display_by_rank(lines, "H", columns=2).count() == 3 and steps == ["printed-lines"]
     plan = reshape.display(lines.withColumn("value", F.rand(3)), "H", periods=["2020"])._jdf.queryExecution().optimizedPlan().toString()
     assert "rand(" not in plan
+
+
+def _two_reports(spark):
+    """Element ``a`` in two reports and in a role that neither reads; some arcs and labels have no place."""
+    lines = spark.createDataFrame([(1, "u", "a"), (1, "v", "a"), (1, "u", "b")], "filing_id BIGINT, unit STRING, element_id STRING")
+    units = spark.createDataFrame([(1, "u", "r1"), (1, "v", "r2")], "filing_id BIGINT, unit STRING, role_id STRING")
+    arcs = spark.createDataFrame([
+        (1, 1, "r1", "x", "a", "1", "plain"), (1, 4, "r1", "x", "a", "1", "terse"), (1, None, "r1", "x", "a", "1", "terse"),
+        (1, 2, "r2", "x", "a", "1", None), (1, 3, "r3", "x", "a", "1", "total"), (1, 5, "r3", "x", "b", "1", None),
+    ], "filing_id BIGINT, arc_seq BIGINT, role_id STRING, from_element_id STRING, to_element_id STRING, arc_order STRING, preferred_label STRING")
+    label = spark.createDataFrame([
+        (1, 1, "a", "plain", "en-US", "A"), (1, 2, "a", "terse", "en-US", "A short"), (1, 3, "a", "total", "en-US", "A total"),
+        (1, 4, "b", "plain", "en-US", "B"), (1, None, "b", "plain", "fr", "B fr"),
+    ], "filing_id BIGINT, label_seq BIGINT, element_id STRING, label_role STRING, lang STRING, label_string STRING")
+    return lines, arcs, units, label
+
+
+def test_labels_are_dealt_out_once(spark):
+    """Labels meet the lines by filing and element, arcs shrink by hash: nothing is sorted for a least place."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        lines, arcs, units, label = _two_reports(spark)
+        found = labels.ranked_labels(lines, arcs, units, label)
+        plan = labels.best_choice(found)._jdf.queryExecution().executedPlan().toString()
+        after = plan[:plan.index("SortMergeJoin")]
+        assert "SortAggregate" not in plan and "Exchange" not in after
+        # The arcs of other roles go before the labels of a report are joined.
+        own = labels.preferred_in_unit(lines, arcs, units, label)._jdf.queryExecution().optimizedPlan().toString()
+        assert "role_id" in own[own.index("Filter"):] and "LeftOuter" not in own
+        assert "LeftOuter" not in labels.preferred_anywhere(lines, arcs, units, label)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_choices_of_labels_in_two_reports(spark):
+    star = _two_reports(spark)
+    ranked = labels.ranked_labels(*star)
+    assert rows(ranked, "unit", "element_id", "label_string", "tier", "arc_seq") == [
+        ("u", "a", "A", 1, 1), ("u", "a", "A short", 1, None), ("u", "a", "A total", 2, 3), ("u", "b", "B", 3, None), ("u", "b", "B fr", 3, None),
+        ("v", "a", "A", 2, 1), ("v", "a", "A short", 2, None), ("v", "a", "A total", 2, 3)]
+    assert rows(labels.best_choice(ranked), "unit", "label_string", "tier") == [
+        ("u", "A", 1), ("u", "A short", 1), ("u", "B fr", 3), ("v", "A", 2), ("v", "A short", 2), ("v", "A total", 2)]
+    assert rows(labels.first_choice(ranked), "unit", "label_string", "tier") == [("u", "A short", 1), ("u", "B fr", 3), ("v", "A short", 2)]
+    assert rows(labels.preferred_in_unit(*star), "unit", "label_string", "arc_seq") == [("u", "A", 1), ("u", "A short", 4), ("u", "A short", None)]
+    assert len(rows(labels.preferred_anywhere(*star))) == 8
