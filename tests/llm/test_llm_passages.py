@@ -2,12 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
+from tallytree import session
 from tallytree.llm import hotkeys, suffix_dedup as sd
-from tallytree.llm.rawtext import sliding_min
+from tallytree.llm.rawtext import CHUNK_BYTES, batches, sliding_min
 
 from conftest import rows
 
@@ -118,3 +121,27 @@ def test_partial_characters_leave_the_text(spark):
     out = sd.remove_repeats(docs, length=40, anchor=8).collect()
     assert {r.kept_text for r in out} == {"first 1", "second 2"} and all(r.n_removed == 1 + len(shared) for r in out)
     assert {r.kept_sha256 for r in out} == {hashlib.sha256(b).hexdigest() for b in (b"first \xc31", b"second \xc22")}
+
+
+def test_only_tables_that_are_read_again_are_written(spark):
+    """Every written file costs an executor memory and a process; the ranges are read once."""
+    written, hook = [], lambda frame, name: written.append(name)
+    session.PIN_HOOKS.append(hook)
+    try:
+        docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id LONG, text STRING")
+        sd.repeated_spans(docs.withColumnRenamed("doc_id", "row_id"), 100, 32)
+    finally:
+        session.PIN_HOOKS.remove(hook)
+    assert written == [f"suffix-{x}" for x in ("anchors", "keys", "hits", "around", "surroundings", "windows")]
+
+
+def test_a_step_of_the_scan_holds_little():
+    texts = [bytes(t) for t in np.random.default_rng(5).integers(97, 123, (128, 8192), dtype=np.uint8)]
+    most = 0
+    for _, part in batches(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]), "text", getattr(sd, "SCAN_BYTES", CHUNK_BYTES)):
+        sd.anchors_of(part[:1], sd.LENGTH, sd.ANCHOR)  # tables that the worker keeps
+        tracemalloc.start()
+        sd.anchors_of(part, sd.LENGTH, sd.ANCHOR)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert most < 32e6
