@@ -1,6 +1,7 @@
 """What a query makes, shuffles and broadcasts grows with what it reads."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,6 +27,20 @@ def test_only_the_tables_asked_for_are_made(spark):
     assert session.path_exists(spark, f"{path}/fact") and not session.path_exists(spark, f"{path}/presentation")
 
 
+def test_arcs_of_other_roles_are_not_made(spark):
+    """Own rows: a filter on the role leaves out the branches of the others, and all roles together lose nothing."""
+    leaves = spark.createDataFrame(
+        [(1, 4, "Brand#1", "FURNITURE", 1, True, True), (1, 6, "Brand#12", "FURNITURE", 1, True, True), (2, None, None, None, 1, True, True)],
+        "filing_id BIGINT, type_no BIGINT, p_brand STRING, c_mktsegment STRING, nth INT, leads_group BOOLEAN, leads_brand BOOLEAN")
+    customer = spark.createDataFrame([(1, "FURNITURE"), (None, None)], "c_custkey BIGINT, c_mktsegment STRING")
+    arcs = sample_star.presentation(leaves, customer)
+    plan = arcs.filter(F.col("role_id") == "cf")._jdf.queryExecution().optimizedPlan().toString()
+    live = "".join(b for b in re.split(r"\n(?=[:+]- )", plan) if "LocalRelation <empty>" not in b)
+    assert sample_star.CASH_ROOT in live and sample_star.INCOME_ROOT not in live and sample_star.LEASE_TEXT not in live
+    counts = {r.role_id: r["count"] for r in arcs.filter("filing_id = 1").groupBy("role_id").count().collect()}
+    assert counts == {"bs": 6, "bs2": 2, "is": 4, "ci": 4, "cf": 2, "d1": 5}
+
+
 def test_arcs_of_other_roles_go_before_the_join(spark, monkeypatch):
     arcs = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "b", "z"), (2, None, "n")], "filing_id BIGINT, role_id STRING, to_element_id STRING")
     units = spark.createDataFrame([(1, "a", "bs"), (2, "b", "bs"), (2, None, "bs")], "filing_id BIGINT, role_id STRING, unit STRING")
