@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallytree.llm.graphs import components
 from tallytree.llm.rawtext import WordGrid, batches, mixed
 from tallytree.operators.firsts import first_per
-from tallytree.session import pin
+from tallytree.session import parts_for, pin
 
 #: 36 bands of 6: a pair at similarity 0.8 shares no band with probability 2e-5, and at 0.85 1e-7.
 BANDS, ROWS = 36, 6
@@ -31,6 +31,8 @@ BANDS, ROWS = 36, 6
 COMPONENTS = 432
 #: Points drawn in one step over all open processes, about.
 DRAWS = 1 << 18
+#: Texts of a file before there are more files than two for every core.
+TEXTS_PER_FILE = 4000
 _U = np.uint64
 
 
@@ -266,14 +268,15 @@ def first_of_each_class(
 def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: int) -> DataFrame:
     """(row_id, text_key, component_id, kept) of documents (row_id, text)."""
     signed = pin(sign(source, bands, rows, words), "bag-signatures")
-    texts = pin(first_per(signed.filter("weight > 0"), ["text_key"], [F.asc_nulls_last("row_id")]), "bag-texts")
+    parts = parts_for(source.sparkSession, signed.count(), TEXTS_PER_FILE)
+    texts = pin(first_per(signed.filter("weight > 0"), ["text_key"], [F.asc_nulls_last("row_id")]), "bag-texts", parts=parts)
 
     members = texts.select("text_key", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
         members.groupBy("bucket").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high"))
         .filter("low <> high")
     )
-    members = pin(members.join(buckets, "bucket"), "bag-buckets")
+    members = pin(members.join(buckets, "bucket"), "bag-buckets", parts=parts)
     # The leader is the smallest key in half of the buckets and the largest in the others.
     led = F.when(F.pmod("bucket", F.lit(2)) == 0, F.col("low")).otherwise(F.col("high"))
     members = members.withColumn("leader", led)
@@ -282,14 +285,14 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     side = lambda x: texts.select(
         F.col("text_key").alias(x), F.col("weight").alias(f"{x}_weight"), F.col("sketch").alias(f"{x}_sketch"))
     alike = _alike("a", "b", threshold, max(COMPONENTS, bands * rows))
-    stars = pin(stars.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "bag-stars")
+    stars = pin(stars.join(side("a"), "a").join(side("b"), "b").filter(alike).select("a", "b"), "bag-stars", parts=parts)
 
     crowd = members.select("text_key").distinct().join(texts.select("text_key", "row_id"), "text_key")
     keyed = source.withColumn("text_key", F.unhex(F.md5("text")))
     wanted = pin(
         keyed.join(crowd, keyed["row_id"].eqNullSafe(crowd["row_id"]) & (keyed["text_key"] == crowd["text_key"]), "left_semi")
         .select("row_id", "text_key", "text").dropDuplicates(["row_id", "text_key"]).select("text_key", "text"),
-        "bag-crowd",
+        "bag-crowd", parts=parts,
     )
 
     def with_texts(pairs: DataFrame) -> DataFrame:
@@ -297,21 +300,21 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
         right = wanted.select(F.col("text_key").alias("b"), F.col("text").alias("right"))
         return pairs.join(left, "a").join(right, "b")
 
-    met = pin(star_overlaps(with_texts(stars), threshold, words), "bag-links")
+    met = pin(star_overlaps(with_texts(stars), threshold, words), "bag-links", parts=parts)
     links = met.filter("linked").select("a", "b")
-    roots = pin(components(links), "bag-roots")
+    roots = pin(components(links), "bag-roots", parts=parts)
 
     # What the leaders left apart: all pairs of a bucket across components.
     placed = members.select("bucket", "band", "leader", "text_key").join(
         roots.withColumnRenamed("node", "text_key"), "text_key", "left"
     ).withColumn("root", F.coalesce("root", "text_key"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-    open_ = pin(placed.join(split.select("bucket"), "bucket"), "bag-open")
+    open_ = pin(placed.join(split.select("bucket"), "bucket"), "bag-open", parts=parts)
     # Edits of their own keep most texts of a crowd from overlapping enough with anything: an exact bound.
     single = open_.select("text_key").distinct().join(texts.select("text_key", "weight", "sketch", "bands"), "text_key")
     bound = shareable(single.join(wanted, "text_key").select("text_key", "weight", "text"), words)
     single = pin(
-        single.join(bound, "text_key").filter(F.col("can_share") >= F.lit(threshold) * F.col("weight") - F.lit(1e-9)), "bag-able")
+        single.join(bound, "text_key").filter(F.col("can_share") >= F.lit(threshold) * F.col("weight") - F.lit(1e-9)), "bag-able", parts=parts)
     # Leaders have met all others of their bucket. What the others have of the leader bounds what they share.
     units = met.select(F.col("a").alias("leader"), F.col("b").alias("text_key"), "units", _ones(F.col("units")).alias("of_leader"))
     open_ = open_.filter("text_key <> leader").join(single, "text_key").join(units, ["leader", "text_key"], "left")
@@ -330,19 +333,19 @@ def _judged(source: DataFrame, threshold: float, words: int, bands: int, rows: i
     ).select("a", "b").distinct()
     tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(tested, ["a", "b"], "left_anti")
-    more = pin(overlaps(with_texts(rest), threshold, words), "bag-more-links")
+    more = pin(overlaps(with_texts(rest), threshold, words), "bag-more-links", parts=parts)
     if not more.isEmpty():
         # Whole components meet: their roots are linked.
         root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
         joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
             F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        again = pin(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "bag-tops")
+        again = pin(components(joined).select(F.col("node").alias("root"), F.col("root").alias("top")), "bag-tops", parts=parts)
         grown = roots.join(again, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         lone = again.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots, "node", "left_anti")
-        roots = pin(grown.unionByName(lone), "bag-all-roots")
+        roots = pin(grown.unionByName(lone), "bag-all-roots", parts=parts)
 
     named = texts.select("text_key", "row_id").join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
-    named = pin(named.withColumn("root", F.coalesce("root", "text_key")), "bag-named")
+    named = pin(named.withColumn("root", F.coalesce("root", "text_key")), "bag-named", parts=parts)
     least = named.groupBy("root").agg(F.min("row_id").alias("component_id"))
     classes = named.join(least, "root").select("text_key", "component_id", F.lit(True).alias("_known"))
     out = signed.select("row_id", "text_key").join(classes, "text_key", "left")

@@ -1,12 +1,14 @@
 """BagMinHash and the embedding forest against brute force."""
 
 import math
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
+from tallytree import session
 from tallytree.llm import bag_minhash, embedding_forest
 from tallytree.llm.graphs import components
 
@@ -232,3 +234,43 @@ def test_what_texts_have_of_a_leader(spark):
     for i in bits:
         for j in bits:
             assert sum((x & y).bit_count() for x, y in zip(bits[i], bits[j])) == sum((top & bag(others[i]) & bag(others[j])).values())
+
+
+def test_small_tables_take_few_files(spark):
+    """However many partitions a shuffle has, a written table of few rows is two files for every core at most."""
+    settings = {"spark.sql.shuffle.partitions": "67", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    root = session.scratch_root(spark).removeprefix("file://")
+    old = {folder for folder, _, _ in os.walk(root)}
+    texts = corpus()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id LONG, text STRING")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in bag_minhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = brute({i: t for i, t in texts.items() if t.strip()})
+    assert got == {i: want.get(i, i) for i in texts}
+    files = {
+        os.path.basename(folder): sum(f.endswith(".parquet") for f in names)
+        for folder, _, names in os.walk(root) if folder not in old and os.path.basename(folder).startswith(("bag-", "large-", "small-"))}
+    assert len(files) > 10 and max(files.values()) <= 2 * spark.sparkContext.defaultParallelism, files
+
+
+def test_rounds_end_with_stars(spark):
+    """Stars need no further round to show that nothing changes; other graphs go on until they are stars."""
+    written, hook = [], lambda frame, name: written.append(name)
+    session.PIN_HOOKS.append(hook)
+    try:
+        found = rows(components(spark.createDataFrame([(1, 2), (3, 1), (1, 9), (4, 5), (5, 4)], "a INT, b INT")))
+    finally:
+        session.PIN_HOOKS.remove(hook)
+    assert found == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (9, 1)]
+    assert written == ["links", "large-star", "small-star"]
+    r = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 130)] + [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    linked = [(a, b) for a, b in edges if a != b]
+    want = classes({x for e in linked for x in e}, linked)
+    assert dict(rows(components(spark.createDataFrame(edges, "a INT, b INT")))) == want
