@@ -2,17 +2,18 @@
 
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallytree import session
 from tallytree.operators import labels, reshape, roles
-from tallytree.plans import sample_star
+from tallytree.plans import sample_documents, sample_star
 from tallytree.sources import instance, rejects
 
 from conftest import rows
-from test_sources import CAL, INSTANCE, write
+from test_sources import CAL, INSTANCE, PRE, write
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -78,6 +79,59 @@ def test_joins_of_reports_know_the_size_of_rows(spark):
         spark.conf.set(key, before)
 
 
+def _shuffle_files(folder):
+    return [f for _, _, names in os.walk(folder) for f in names if f.startswith("shuffle_")]
+
+
+def test_shuffles_go_when_a_job_has_ended(spark, tmp_path):
+    """A session of its own settings: pins leave no shuffle behind, and what is asked for twice is still whole."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    session.clean_after_jobs(spark, False)
+    before = spark.conf.get(session.CLEAN_KEY, None)
+    session.clean_after_jobs(session.clean_after_jobs(spark))
+    try:
+        known = {f for folder in local for f in _shuffle_files(folder)}
+        counts = spark.range(1000).groupBy((F.col("id") % 97).alias("k")).count()
+        pinned = session.pin(counts, "counted")
+        for _ in range(50):
+            left = {f for folder in local for f in _shuffle_files(folder)} - known
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left and pinned.count() == 97
+        assert rows(counts) == rows(counts) and counts.collect() == counts.collect()
+    finally:
+        session.clean_after_jobs(spark, False)
+    assert spark.conf.get(session.CLEAN_KEY, None) == before
+
+
+@needs_data
+def test_sample_documents_are_small_and_in_order(spark):
+    """XML lies there compressed, a filing is in one document, and documents follow each other by name."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        path = sample_documents.label_documents(spark, SF_DIR)
+    finally:
+        spark.conf.unset(key)
+    names = [f for _, _, found in os.walk(path.removeprefix("file://")) for f in found if not f.startswith((".", "_"))]
+    assert names and all(f.endswith(".xml.gz") for f in names)
+    link = spark.read.format("xml").option("rowTag", "loc").option("recursiveFileLookup", "true").schema("_label STRING").load(path)
+    filers = link.select(F.regexp_extract("_label", r"_(\d+)_", 1).cast("int").alias("filer"), F.col("_metadata.file_path").alias("f")).groupBy("f").agg(
+        F.min("filer").alias("a"), F.max("filer").alias("b"))
+    spans = sorted((os.path.dirname(r.f), os.path.basename(r.f), r.a, r.b) for r in filers.collect())
+    assert all(x[0] != y[0] or x[3] < y[2] for x, y in zip(spans, spans[1:])) and len(spans) > len({x[0] for x in spans})
+
+
+def test_arcs_are_resolved_step_by_step(spark, tmp_path, monkeypatch):
+    write(str(tmp_path / "7"), w_ins_xml=INSTANCE, w_pre_xml=PRE)
+    steps = []
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: steps.append(step)])
+    arcs = instance.read_presentation(spark, str(tmp_path))
+    assert steps.index("presentation-links") < steps.index("presentation-from") < steps.index("presentation-to") and arcs.count() > 0
+    assert "SortMergeJoin" not in arcs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_documents_are_read_once_for_broken_ones(spark, tmp_path, monkeypatch):
     """A broken document is found whichever tag is asked for, so one pattern of names is one read."""
     write(str(tmp_path / "7"), w_ins_xml=INSTANCE, broken_xml='<link:linkbase><link:label xlink:role=r>C</link:label></link:linkbase>')
