@@ -8,12 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallytree import session
-from tallytree.operators import labels, reshape, roles
+from tallytree.operators import labels, reshape, roles, tree
 from tallytree.plans import sample_documents, sample_star
-from tallytree.sources import instance, rejects
+from tallytree.sources import instance, pieces, rejects
+from tallytree.star import SCHEMAS
 
 from conftest import rows
-from test_sources import CAL, INSTANCE, PRE, write
+from test_sources import CAL, INSTANCE, LAB, PRE, XSD, write
 
 SF_DIR = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
@@ -132,6 +133,58 @@ def test_arcs_are_resolved_step_by_step(spark, tmp_path, monkeypatch):
     assert "SortMergeJoin" not in arcs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_documents_are_told_apart_by_their_tags(spark, tmp_path, monkeypatch):
+    """A kind of thing is looked for only in documents that hold its tag, with any prefix; what is found stays the same."""
+    root = str(tmp_path / "in")
+    write(f"{root}/7", w_ins_xml=INSTANCE, w_pre_xml=PRE, w_cal_xml=CAL, w_lab_xml=LAB, w_xsd=XSD)
+    holding = pieces.documents_holding(spark, root, "*.xml", instance.TAGS | {"none": ("nowhere",)})
+    names = {kind: [os.path.basename(f) for f in found] for kind, found in holding.items()}
+    assert names["presentation"] == ["w_pre.xml"] and names["calculation"] == ["w_cal.xml"] and names["label"] == ["w_lab.xml"]
+    assert names["context"] == ["w_ins.xml"] and len(names["none"]) == 1
+    read = []
+    xml = instance._xml
+    monkeypatch.setattr(instance, "_xml", lambda session, where, files, tag, schema: read.append((tag, where)) or xml(session, where, files, tag, schema))
+    told = instance.load_filings(spark, root)
+    assert read and all(isinstance(where, list) and len(where) == 1 for _, where in read)
+    monkeypatch.setattr(pieces, "MOST_DOCUMENTS", 1)
+    read.clear()
+    every = instance.load_filings(spark, root)
+    assert all(where == root for _, where in read)
+    for name in SCHEMAS:
+        columns = [c for c in getattr(told, name).columns if not c.endswith("_seq")]
+        found = rows(getattr(told, name), *columns)
+        assert found and found == rows(getattr(every, name), *columns), name
+
+
+def test_names_that_a_path_can_not_state_are_read_as_before(spark, tmp_path):
+    root = str(tmp_path / "in")
+    write(f"{root}/7", **{"w_ins_xml": INSTANCE})
+    os.rename(f"{root}/7/w_ins.xml", f"{root}/7/w [1].xml")
+    assert set(pieces.documents_holding(spark, root, "*.xml", instance.TAGS).values()) == {root}
+    assert instance.load_filings(spark, root).context.count() > 0
+
+
+def test_rejects_are_written_one_after_the_other(spark, tmp_path, monkeypatch):
+    write(str(tmp_path / "7"), w_ins_xml=INSTANCE, w_pre_xml=PRE)
+    steps = []
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: steps.append(step)])
+    found = rejects.rejects(spark, str(tmp_path))
+    assert steps.count("found-rejects") == 11 and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_are_sorted_without_their_paths(spark, monkeypatch):
+    """What serves the order only, and paths that nobody asks for, are not written."""
+    arcs = spark.createDataFrame(
+        [(1, "u", "r", "b", "2", 1), (1, "u", "r", "c", "1", 2), (1, "u", "b", "d", "1", 3)],
+        "filing_id INT, unit STRING, from_element_id STRING, to_element_id STRING, arc_order STRING, arc_seq BIGINT")
+    written = {}
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: written.setdefault(step, []).append(df.columns)])
+    short, full = tree.tree_lines(arcs, with_path=False), tree.tree_lines(arcs)
+    assert [set(c) & {"path", "path_key"} for c in written["numbered"]] == [set(), {"path"}]
+    assert full.columns == [*short.columns, "path"] and rows(short) == rows(full, *short.columns)
+    assert rows(full, "el_order", "element_id", "level2", "path") == [(1, "c", "c", ["r", "c"]), (2, "d", "b", ["r", "b", "d"])]
+
+
 def test_documents_are_read_once_for_broken_ones(spark, tmp_path, monkeypatch):
     """A broken document is found whichever tag is asked for, so one pattern of names is one read."""
     write(str(tmp_path / "7"), w_ins_xml=INSTANCE, broken_xml='<link:linkbase><link:label xlink:role=r>C</link:label></link:linkbase>')
@@ -168,6 +221,14 @@ def _two_reports(spark):
     return lines, arcs, units, label
 
 
+def test_arcs_and_labels_are_not_dealt_out_at_once(spark, monkeypatch):
+    steps = {}
+    monkeypatch.setattr(session, "PIN_HOOKS", [lambda df, step: steps.setdefault(step, df.columns)])
+    found = labels.ranked_labels(*_two_reports(spark))
+    assert steps["label-choices"] == ["filing_id", "element_id", "unit", "_own", "_others"]
+    assert "preferred_label" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_labels_are_dealt_out_once(spark):
     """Labels meet the lines by filing and element, arcs shrink by hash: nothing is sorted for a least place."""
     key = "spark.sql.autoBroadcastJoinThreshold"
